@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, quality, simhash_dedup, token_cache, toxicity
+from . import mixing, pii, quality, simhash_dedup, token_cache, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": simhash_dedup.op2_simhash,
         "op3_token_counts": token_cache.op3_token_counts,
+        "op5_mixing": mixing.op5_mixing,
         "op6_personal_data": pii.op6_personal_data,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_quality": quality.op10_quality,
