@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, quality, simhash_dedup, token_cache, toxicity
+from . import decontam, mixing, pii, quality, simhash_dedup, token_cache, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": token_cache.op3_token_counts,
         "op5_mixing": mixing.op5_mixing,
         "op6_personal_data": pii.op6_personal_data,
+        "op8_decontamination": decontam.op8_decontamination,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_quality": quality.op10_quality,
     }
