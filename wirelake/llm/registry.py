@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, pii, quality, simhash_dedup, token_cache, toxicity
+from . import decontam, mixing, pii, quality, simhash_dedup, token_cache, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": simhash_dedup.op2_simhash,
         "op3_token_counts": token_cache.op3_token_counts,
+        "op4_warc": warc.op4_warc,
         "op5_mixing": mixing.op5_mixing,
         "op6_personal_data": pii.op6_personal_data,
         "op8_decontamination": decontam.op8_decontamination,
