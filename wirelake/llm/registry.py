@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, pii, quality, simhash_dedup, token_cache, toxicity, warc
+from . import decontam, hmm_score, mixing, pii, quality, simhash_dedup, token_cache, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_hmm": hmm_score.op1_hmm,
         "op2_simhash": simhash_dedup.op2_simhash,
         "op3_token_counts": token_cache.op3_token_counts,
         "op4_warc": warc.op4_warc,
