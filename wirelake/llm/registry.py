@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, hmm_score, mixing, pii, quality, simhash_dedup, token_cache, toxicity, warc
+from . import decontam, hmm_score, mixing, pii, quality, simhash_dedup, suffix_dedup, token_cache, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc": warc.op4_warc,
         "op5_mixing": mixing.op5_mixing,
         "op6_personal_data": pii.op6_personal_data,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_decontamination": decontam.op8_decontamination,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_quality": quality.op10_quality,
