@@ -233,16 +233,37 @@ def components(edges: DataFrame) -> DataFrame:
         now, sign = new, tuple(stamp)
 
 
-def near_duplicates(docs: DataFrame, bits: int = BITS, heavy: int = HEAVY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) of every row."""
+def _labelled(docs: DataFrame, bits: int, heavy: int, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, top, component_id) of every fingerprint; top names the component."""
     prints = stash(fingerprints(docs, id_col, text), "simhash")
     nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     comp = components(links(nodes, bits, heavy)).select(F.col("u").alias("fp"), F.col("v").alias("top"))
     named = nodes.join(comp, "fp", "left").select("fp", "first", F.coalesce("top", "fp").alias("top"))
     best = named.groupBy("top").agg(F.min("first").alias("component_id"))
-    label = stash(named.join(best, "top").select("fp", "component_id"), "simhash-labels")
+    return prints, stash(named.join(best, "top").select("fp", "top", "component_id"), "simhash-labels")
+
+
+def near_duplicates(docs: DataFrame, bits: int = BITS, heavy: int = HEAVY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) of every row."""
+    prints, label = _labelled(docs, bits, heavy, id_col, text)
     return prints.join(label.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, bits: int = BITS, heavy: int = HEAVY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row of each component with the smallest id, with all its columns; of rows that share that id, one."""
+    prints, label = _labelled(docs, bits, heavy, id_col, text)
+    n, kinds = prints.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    if n == kinds:
+        return docs.join(label.select(F.col("component_id").alias(id_col)).distinct().hint("merge"), id_col, "left_semi").select(docs.columns)
+    place = docs.columns.index(text)
+
+    def run(batches):
+        for b in slices(batches):
+            yield b.append_column("_fp", pa.array([fingerprint((t or "").encode()) for t in b.column(place).to_pylist()], pa.int64()))
+
+    rows = docs.mapInArrow(run, docs.schema.add("_fp", "long")).join(label.withColumnRenamed("fp", "_fp").hint("merge"), "_fp")
+    return rows.where(F.col(id_col).eqNullSafe(F.col("component_id"))).dropDuplicates(["top"]).select(docs.columns)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

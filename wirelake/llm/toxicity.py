@@ -201,6 +201,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     return docs.select(F.col(id_col).alias("id"), text_bytes(text).alias("t")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
 
+def keep_ordinary(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of docs that score below the threshold, with all their columns."""
+    share, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches):
+        scorer = Scorer(share.value)
+        for b in slices(batches):
+            yield b.filter(pa.array(scorer.scores([(t or "").encode() for t in b.column(place).to_pylist()]) < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(docs, labels)
