@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import drop_stash, slices, stash, table, text_bytes
 
@@ -261,7 +262,7 @@ def keep_one(docs: DataFrame, bits: int = BITS, heavy: int = HEAVY, id_col: str
         for b in slices(batches):
             yield b.append_column("_fp", pa.array([fingerprint((t or "").encode()) for t in b.column(place).to_pylist()], pa.int64()))
 
-    rows = docs.mapInArrow(run, docs.schema.add("_fp", "long")).join(label.withColumnRenamed("fp", "_fp").hint("merge"), "_fp")
+    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])).join(label.withColumnRenamed("fp", "_fp").hint("merge"), "_fp")
     return rows.where(F.col(id_col).eqNullSafe(F.col("component_id"))).dropDuplicates(["top"]).select(docs.columns)
 
 
