@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from ..functions import address as A
 from ..plans.search import clamp_streams
 from ..plans.store import Store
-from ..registry import KEYS
+from ..registry import KEYS, in_sessions
 
 TCP, FIN, SYN, ACK = 6, 1, 2, 16
 #: Starts of HTTP messages. Fixed values.
@@ -119,7 +119,7 @@ def http_streams(packets: DataFrame, found: DataFrame) -> DataFrame:
 def _condition(sessions: tuple[int, ...], l7: str | None):
     out = F.lit(True)
     if sessions:
-        out = out & F.col("session_id").isin(*sessions)
+        out = out & in_sessions(sessions)
     return out & (F.col("l7_proto") == l7) if l7 else out
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.address import session_id
 from ..plans.search import Scope
 from ..plans.store import ParquetStore
-from ..registry import COMPONENTS, HTTP_COLUMNS, KEYS, STREAM_COLUMNS, UPPER_LAYERS
+from ..registry import COMPONENTS, HTTP_COLUMNS, KEYS, STREAM_COLUMNS, UPPER_LAYERS, in_sessions
 from ..sources import pcap
 from . import codec, files, flows, reassembly, retention
 
@@ -117,7 +117,7 @@ def export(store: ParquetStore, path: str, text: str = "", scope: Scope = Scope(
         raise ValueError(f"packet {broken[0].packet_id} of session {broken[0].session_id}: {broken[0].error}")
     captures = store.table("captures")
     if scope.sessions:
-        captures = captures.where(F.col("session_id").isin(*scope.sessions))
+        captures = captures.where(in_sessions(scope.sessions))
     head = captures.limit(2).collect()
     if len(head) == 1:
         c = head[0]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.store import TABLE_KEYS, ParquetStore
+from ..registry import in_sessions
 from . import files
 
 log = logging.getLogger(__name__)
@@ -60,7 +61,7 @@ def enforce(store: ParquetStore, most: int, protected: tuple[int, ...] = ()) ->
         if report.after <= most:
             break
         path = f"{store.path('packets')}/{day}"
-        if protected and not spark.read.parquet(path).where(F.col("session_id").isin(*protected)).isEmpty():
+        if protected and not spark.read.parquet(path).where(in_sessions(protected)).isEmpty():
             report.kept_days.append(day)
             continue
         files.delete(spark, path)
@@ -70,7 +71,7 @@ def enforce(store: ParquetStore, most: int, protected: tuple[int, ...] = ()) ->
         store.refresh()
         gone = orphans(store.table("captures").select("session_id"), store.table("packets"))
         if protected:
-            gone = gone.where(~F.col("session_id").isin(*protected))
+            gone = gone.where(~in_sessions(protected))
         gone = spark.createDataFrame(gone.collect(), gone.schema)  # one row for each capture; the files behind it are replaced below
         report.dropped_sessions = gone.count()
         for name in MANAGED:

@@ -83,3 +83,42 @@ def flow_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").selectExpr(*_cols(FLOW), "props", "event_type", f"{FLAGS} AS flags")
     text = F.when(F.col("event_type") == "click", F.concat(F.lit("GET /"), F.col("props"), F.lit(" HTTP/1.1\r\nHost: h.example\r\n\r\n"))).when(F.col("event_type") == "view", F.lit("SSH-2.0")).otherwise(F.col("props"))
     return e.select("session_id", "packet_id", ip6_of_ip4(F.col("src_n").cast("long")).alias("src_ip"), ip6_of_ip4(F.col("dst_n").cast("long")).alias("dst_ip"), "src_port", "dst_port", "flags", text.cast("binary").alias("payload"), "src_n", "dst_n", "props")
+
+
+def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (path, content) as of binaryFile: one classic capture for each partition of events, with real frames of five kinds."""
+    import struct
+
+    import pyarrow as pa
+
+    from ..sources import pcap
+
+    mac = bytes.fromhex("001122334455") + bytes.fromhex("66778899aabb")
+
+    def frame(user: int, event: int, kind: str, props: bytes) -> bytes:
+        src, dst, sport, dport = 0x0A000000 + user, 0x0A000000 + event % 97, 1024 + event % 5000, (80, 443, 22, 7000, 8080)[event % 5]
+        tcp = struct.pack(">HHIIHHHH", sport, dport, event, 0, 5 << 12 | 24, 512, 0, 0) + props
+        udp = lambda p, d: struct.pack(">HHHH", sport, d, 8 + len(p), 0) + p
+        ip4 = lambda p, proto: mac + b"\x08\0" + struct.pack(">BBHHHBBHII", 0x45, 0, 20 + len(p), event & 0xFFFF, 0, 64, proto, 0, src, dst) + p
+        if kind == "click":
+            return ip4(tcp, 6)
+        if kind == "view":
+            return ip4(udp(props, dport), 17)
+        if kind == "purchase":
+            return mac + b"\x86\xdd" + struct.pack(">IHBB", 6 << 28, len(tcp), 6, 64) + bytes(12) + struct.pack(">I", src) + bytes(12) + struct.pack(">I", dst) + tcp
+        if kind == "error":
+            return ip4(udp(struct.pack(">HHHHHH", event & 0xFFFF, 0x0100, 1, 0, 0, 0) + b"\x01a\x02bc\0" + struct.pack(">HH", 1, 1), 53), 17)
+        return mac + b"\x08\x06" + struct.pack(">HHBBH", 1, 0x0800, 6, 4, 1) + mac[:6] + struct.pack(">I", src) + mac[6:] + struct.pack(">I", dst)
+
+    def run(batches):
+        for b in batches:
+            out, first = [pcap.header_bytes()], None
+            for r in b.to_pylist():
+                data = frame(r["user_id"], r["event_id"], r["event_type"], r["props"].encode())
+                out.append(pcap.record_bytes(r["ts"], data, len(data) + r["event_id"] % 3))
+                first = r["event_id"] if first is None else first
+            if first is not None:
+                yield pa.record_batch([pa.array([f"events-{first}.pcap"]), pa.array([b"".join(out)], pa.binary())], names=["path", "content"])
+
+    rows = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "props", F.expr("unix_micros(CAST(ts AS TIMESTAMP)) * 1000").alias("ts"))
+    return rows.mapInArrow(run, "path string, content binary")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import address as A
-from ..registry import ALIASES, COMPONENTS, KEYS, Component, default_sql
+from ..registry import ALIASES, COMPONENTS, KEYS, Component, default_sql, in_sessions, session_literal
 from .language import Filter, FilterError, compile_filter
 from .store import Store, day_of
 
@@ -53,7 +53,7 @@ def _on(left: str, right: str) -> Column:
 def _scoped(store: Store, scope: Scope) -> DataFrame:
     p = store.table("packets")
     if scope.sessions:
-        p = p.where(F.col("session_id").isin(*scope.sessions))
+        p = p.where(in_sessions(scope.sessions))
     for bound, sign in ((scope.start, ">="), (scope.end, "<=")):
         if bound is not None:
             p = p.where(f"ts {sign} {int(bound)}")
@@ -228,7 +228,7 @@ def count_matching(store: Store, text: str = "", scope: Scope = Scope()) -> Data
 
 
 def point(store: Store, session_id: int, packet_id: int) -> DataFrame:
-    return store.table("packets").where((F.col("session_id") == session_id) & (F.col("packet_id") == packet_id))
+    return store.table("packets").where((F.col("session_id") == session_literal(session_id)) & (F.col("packet_id") == packet_id))
 
 
 def details(store: Store, session_id: int, packet_id: int) -> DataFrame:
@@ -236,7 +236,7 @@ def details(store: Store, session_id: int, packet_id: int) -> DataFrame:
     out = point(store, session_id, packet_id).alias("p")
     cols = [F.col("p.session_id").cast("string").alias("session_id"), F.col("p.packet_id"), F.col("p.ts").alias("timestamp_ns"), F.col("p.incl_len"), (F.col("p.incl_len") + F.col("p.trunc_extra")).alias("orig_len"), proto_label(F.col("p.components")).alias("proto")]
     for name, comp in COMPONENTS.items():
-        t = store.table(name).where((F.col("session_id") == session_id) & (F.col("packet_id") == packet_id)).alias(name)
+        t = store.table(name).where((F.col("session_id") == session_literal(session_id)) & (F.col("packet_id") == packet_id)).alias(name)
         shown = [_display(comp, c.name, False).alias(comp.shown(c.name)) for c in comp.columns]
         side = t.groupBy(*[F.col(f"{name}.{k}").alias(k) for k in KEYS]).agg(F.array_sort(F.collect_list(F.struct(F.col(f"{name}.layer_index").alias("layer_index"), *shown))).alias("items")).alias(f"s_{name}")
         out = out.join(side, (F.col("p.session_id") == F.col(f"s_{name}.session_id")) & (F.col("p.packet_id") == F.col(f"s_{name}.packet_id")), "left")

@@ -127,6 +127,19 @@ ALIASES = {
 }
 
 
+def session_literal(number: int):
+    """A session id, which may need all 64 bits, as a column."""
+    from pyspark.sql import functions as F
+
+    return F.lit(str(int(number))).cast(SESSION)
+
+
+def in_sessions(numbers, column: str = "session_id"):
+    from pyspark.sql import functions as F
+
+    return F.col(column).isin(*[session_literal(n) for n in numbers])
+
+
 def default_sql(kind: str) -> str:
     """What an absent layer shows for a column of a kind."""
     return {
