@@ -11,11 +11,23 @@ from ..plans.store import Store
 from ..registry import COMPONENTS, KEYS, UPPER_LAYERS
 
 
+#: Numbers that one window holds at most when runs are looked for, and nanoseconds of one when gaps are.
+RUN_BUCKET, GAP_BUCKET = 1 << 16, 60_000_000_000
+
+
 def id_ranges(df: DataFrame, group: str = "session_id", number: str = "packet_id") -> DataFrame:
-    """Runs of consecutive numbers: group, first, last, n. Bounded windows aren't needed: a run's members share number minus rank."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(number))
-    marked = df.select(group, number).distinct().withColumn("_run", F.col(number) - rank)
-    return marked.groupBy(group, "_run").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count(F.lit(1)).alias("n")).drop("_run")
+    """Runs of consecutive numbers: group, first, last, n.
+
+    Runs are found within buckets of numbers first, where members share number minus rank; then runs that meet at a border are
+    joined, over runs only. So a group with a third of all rows is spread over many tasks.
+    """
+    cut = F.floor(F.col(number) / RUN_BUCKET)
+    rank = F.row_number().over(Window.partitionBy(group, "_cut").orderBy(number))
+    marked = df.select(group, number).distinct().withColumn("_cut", cut).withColumn("_run", F.col(number) - rank)
+    runs = marked.groupBy(group, "_cut", "_run").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(group).orderBy("first")
+    fresh = F.coalesce(F.col("first") != F.lag("last").over(order) + 1, F.lit(True)).cast("int")
+    return runs.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(order)).groupBy(group, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").cast("long").alias("n")).drop("_run")
 
 
 def arrays_by_layer(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
@@ -69,9 +81,12 @@ def parse_ratio(packets: DataFrame) -> DataFrame:
 
 
 def inter_arrival(packets: DataFrame) -> DataFrame:
-    """Nanoseconds since the previous packet of the session."""
-    before = F.lag("ts").over(Window.partitionBy("session_id").orderBy(*ORDER))
-    return packets.select("session_id", "packet_id", (F.col("ts") - before).alias("gap_ns"))
+    """Nanoseconds since the previous packet of the session. Windows hold a minute of a session; a minute's first packet looks up the last time before it."""
+    rows = packets.select("session_id", "packet_id", "ts", F.floor(F.col("ts") / F.lit(GAP_BUCKET)).alias("_cut"))
+    last = rows.groupBy("session_id", "_cut").agg(F.max("ts").alias("_last"))
+    last = last.select("session_id", "_cut", F.lag("_last").over(Window.partitionBy("session_id").orderBy("_cut")).alias("_before"))
+    inside = F.lag("ts").over(Window.partitionBy("session_id", "_cut").orderBy(*ORDER))
+    return rows.withColumn("_prev", inside).join(last, ["session_id", "_cut"]).select("session_id", "packet_id", (F.col("ts") - F.coalesce("_prev", "_before")).alias("gap_ns"))
 
 
 def share_of_total(df: DataFrame, by: str, value: str) -> DataFrame:
