@@ -5,7 +5,8 @@ Of pages with equal payloads the one with the largest id is written whole; the o
 to it and hold only the HTTP header. Archives are written by Spark's text writer, one member a row, with a zero byte after each
 (gzip readers skip zero padding), so they go to any store that Spark writes to.
 
-Reading: archives of gzip members or of plain records. Every record must have a version line, a whole block of the stated length, and the
+Reading: archives of gzip members or of plain records. Every record must have a version line, the headers that the format
+requires (each once), a whole block of the stated length, and the
 digests it names. After a failed check the reader searches for the next valid member or version line and goes
 on there; the bytes between are logged as a quarantined gap with the reason.
 
@@ -33,6 +34,8 @@ DATE = "2024-01-01T00:00:00Z"
 URN = "urn:wirelake:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP, VERSION, END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
+#: Headers that every record has. Fixed values.
+REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 RECORDS = "path string, start long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, gap_end long, reason string"
 
 
@@ -91,10 +94,16 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
         name, colon, value = line.partition(":")
         if not colon:
             raise Bad("bad header line")
-        headers[name.strip().lower()] = value.strip()
-    size = headers.get("content-length", "")
+        name = name.strip().lower()
+        if name in headers and name != "warc-concurrent-to":
+            raise Bad("headers of two records")
+        headers[name] = value.strip()
+    missing = [h for h in REQUIRED if h not in headers]
+    if missing:
+        raise Bad(f"no {missing[0]}")
+    size = headers["content-length"]
     if not size.isascii() or not size.isdigit():
-        raise Bad("no content length")
+        raise Bad("bad content length")
     first = stop + len(END)
     end = first + int(size)
     block = data[first:end]
