@@ -1,7 +1,7 @@
 """Frames to layers and back, byte for byte.
 
-A frame is walked from its link type down. Each layer is read, rebuilt from its columns and compared with its bytes; the walk stops before the first
-layer that is unknown, cut short or would not be rebuilt exactly, and what remains is the packet's payload. So a packet's layers plus its payload always
+A frame is walked from its link type down. The walk stops before the first layer that is unknown, cut short, or holds bits that its columns don't keep
+(so that it would not be rebuilt exactly); what remains is the packet's payload. So a packet's layers plus its payload always
 give the captured bytes. Formats: RFC 791, 8200, 9293, 768, 826, 792, 4443, 1035, 5905, 2784, 2890 and IEEE 802.1Q.
 """
 
@@ -33,22 +33,37 @@ def _need(b: bytes, n: int) -> None:
         raise Stop
 
 
+_S_BBBBIIIQQQQ = struct.Struct(">BBbbIIIQQQQ")
+_S_BBH = struct.Struct(">BBH")
+_S_BBHHH = struct.Struct(">BBHHH")
+_S_BBHHHBBHII = struct.Struct(">BBHHHBBHII")
+_S_H = struct.Struct(">H")
+_S_HH = struct.Struct(">HH")
+_S_HHBBH = struct.Struct(">HHBBH")
+_S_HHHH = struct.Struct(">HHHH")
+_S_HHHHHH = struct.Struct(">HHHHHH")
+_S_HHIH = struct.Struct(">HHIH")
+_S_HHIIHHHH = struct.Struct(">HHIIHHHH")
+_S_I = struct.Struct(">I")
+_S_IHBB = struct.Struct(">IHBB")
+
+
 def _ethernet(b: bytes):
     _need(b, 14)
-    (kind,) = struct.unpack_from(">H", b, 12)
+    (kind,) = _S_H.unpack_from(b, 12)
     typed = kind >= 0x600
     return {"src": b[6:12], "dst": b[:6], "type": kind if typed else 0, "len": 0 if typed else kind}, 14, ("ether", kind if typed else None)
 
 
 def _dot1q(b: bytes):
     _need(b, 4)
-    tag, kind = struct.unpack_from(">HH", b)
+    tag, kind = _S_HH.unpack_from(b)
     return {"priority": tag >> 13, "drop_eligible": tag >> 12 & 1, "vlan_id": tag & 0xFFF, "type": kind}, 4, ("ether", kind)
 
 
 def _linuxsll(b: bytes):
     _need(b, 16)
-    return {"l2_len": 16, "l2_hdr_raw": b[:16]}, 16, ("ether", struct.unpack_from(">H", b, 14)[0])
+    return {"l2_len": 16, "l2_hdr_raw": b[:16]}, 16, ("ether", _S_H.unpack_from(b, 14)[0])
 
 
 def _options_fit(o: bytes) -> bool:
@@ -67,7 +82,7 @@ def _options_fit(o: bytes) -> bool:
 
 def _ipv4(b: bytes):
     _need(b, 20)
-    first, tos, total, ident, frag, ttl, proto, check, src, dst = struct.unpack_from(">BBHHHBBHII", b)
+    first, tos, total, ident, frag, ttl, proto, check, src, dst = _S_BBHHHBBHII.unpack_from(b)
     size = (first & 15) * 4
     if first >> 4 != 4 or size < 20:
         raise Stop
@@ -81,7 +96,7 @@ def _ipv4(b: bytes):
 
 def _ipv6(b: bytes):
     _need(b, 40)
-    first, size, follow, hops = struct.unpack_from(">IHBB", b)
+    first, size, follow, hops = _S_IHBB.unpack_from(b)
     if first >> 28 != 6:
         raise Stop
     return {"protocol": follow, "src": b[8:24], "dst": b[24:40], "payload_len": size, "hop_limit": hops, "flow_label": first & 0xFFFFF, "traffic_class": first >> 20 & 0xFF}, 40, ("ip6", follow)
@@ -91,15 +106,15 @@ def _ipv6_ext(b: bytes, kind: int):
     _need(b, 8)
     size = 8 if kind == 44 else (b[1] + 1) * 8
     _need(b, size)
-    fragment = kind == 44 and struct.unpack_from(">H", b, 2)[0] & 0xFFF9
+    fragment = kind == 44 and _S_H.unpack_from(b, 2)[0] & 0xFFF9
     return {"ext_type": kind, "ext_raw": b[:size]}, size, None if fragment else ("ip6", b[0])
 
 
 def _tcp(b: bytes):
     _need(b, 20)
-    src, dst, seq, ack, bits, window, check, urgent = struct.unpack_from(">HHIIHHHH", b)
+    src, dst, seq, ack, bits, window, check, urgent = _S_HHIIHHHH.unpack_from(b)
     size = (bits >> 12) * 4
-    if size < 20:
+    if size < 20 or bits & 0x0E00:
         raise Stop
     _need(b, size)
     return {"src": src, "dst": dst, "seq": seq, "ack": ack, "data_offset": bits >> 12, "flags": bits & 0x1FF, "window": window, "checksum": check, "urgent": urgent, "options_raw": b[20:size]}, size, None
@@ -107,28 +122,28 @@ def _tcp(b: bytes):
 
 def _udp(b: bytes):
     _need(b, 8)
-    src, dst, size, check = struct.unpack_from(">HHHH", b)
+    src, dst, size, check = _S_HHHH.unpack_from(b)
     return {"src": src, "dst": dst, "length": size, "checksum": check}, 8, ("dns",) if 53 in (src, dst) else ("ntp",) if 123 in (src, dst) else None
 
 
 def _icmpv4(b: bytes):
     _need(b, 8)
-    kind, code, check, ident, seq = struct.unpack_from(">BBHHH", b)
+    kind, code, check, ident, seq = _S_BBHHH.unpack_from(b)
     return {"type": kind, "code": code, "checksum": check, "id": ident, "seq": seq}, 8, None
 
 
 def _icmpv6(b: bytes):
     _need(b, 4)
-    kind, code, check = struct.unpack_from(">BBH", b)
+    kind, code, check = _S_BBH.unpack_from(b)
     return {"type": kind, "code": code, "checksum": check}, 4, None
 
 
 def _arp(b: bytes):
     _need(b, 28)
-    hard, proto, hlen, plen, op = struct.unpack_from(">HHBBH", b)
+    hard, proto, hlen, plen, op = _S_HHBBH.unpack_from(b)
     if (hard, proto, hlen, plen) != (1, 0x0800, 6, 4):
         raise Stop
-    return {"arp_op": op, "sender_mac": b[8:14], "sender_ip": struct.unpack_from(">I", b, 14)[0], "target_mac": b[18:24], "target_ip": struct.unpack_from(">I", b, 24)[0]}, 28, None
+    return {"arp_op": op, "sender_mac": b[8:14], "sender_ip": _S_I.unpack_from(b, 14)[0], "target_mac": b[18:24], "target_ip": _S_I.unpack_from(b, 24)[0]}, 28, None
 
 
 #: GRE's optional words and the bits that announce them. Fixed values.
@@ -137,7 +152,7 @@ GRE_CHECKSUM, GRE_KEY, GRE_SEQ = 0x8000, 0x2000, 0x1000
 
 def _gre(b: bytes):
     _need(b, 4)
-    bits, proto = struct.unpack_from(">HH", b)
+    bits, proto = _S_HH.unpack_from(b)
     row, at = {"protocol": proto, "flags": 0, "version": bits & 7, "checksum": 0, "key": 0, "seq": 0}, 4
     for i, (bit, name) in enumerate(((GRE_CHECKSUM, "checksum"), (GRE_KEY, "key"), (GRE_SEQ, "seq"))):
         if bits & bit:
@@ -145,6 +160,8 @@ def _gre(b: bytes):
             row["flags"] |= 1 << i
             row[name] = struct.unpack_from(">H" if name == "checksum" else ">I", b, at)[0]
             at += 4
+    if _gre_bytes(row) != b[:at]:
+        raise Stop
     return row, at, ("ether", proto)
 
 
@@ -176,7 +193,7 @@ SECTIONS = ("answers", "authority", "additional")
 
 def _dns(b: bytes):
     _need(b, 12)
-    ident, bits, *counts = struct.unpack_from(">HHHHHH", b)
+    ident, bits, *counts = _S_HHHHHH.unpack_from(b)
     # Z, then AA, TC, RD, RA from high to low
     flags = (bits >> 4 & 7) << 4 | (bits >> 10 & 1) << 3 | (bits >> 9 & 1) << 2 | (bits >> 8 & 1) << 1 | bits >> 7 & 1
     row = {"raw_len": len(b), "transaction_id": ident, "qr": bits >> 15, "opcode": bits >> 11 & 15, "rcode": bits & 15, "flags": flags, "an_count": counts[1], "ns_count": counts[2], "ar_count": counts[3], "dns_raw": b}
@@ -185,14 +202,14 @@ def _dns(b: bytes):
     for _ in range(counts[0]):
         name, at = _name(b, at)
         _need(b, at + 4)
-        for k, v in zip(("name", "type", "class"), (name, *struct.unpack_from(">HH", b, at)), strict=True):
+        for k, v in zip(("name", "type", "class"), (name, *_S_HH.unpack_from(b, at)), strict=True):
             row[f"questions_{k}"].append(v)
         at += 4
     for s, n in zip(SECTIONS, counts[1:], strict=True):
         for _ in range(n):
             name, at = _name(b, at)
             _need(b, at + 10)
-            kind, cls, ttl, size = struct.unpack_from(">HHIH", b, at)
+            kind, cls, ttl, size = _S_HHIH.unpack_from(b, at)
             _need(b, at + 10 + size)
             data = b[at + 10 : at + 10 + size]
             for k, v in zip(("name", "type", "class", "ttl", "rdata"), (name, kind, cls, ttl, data), strict=True):
@@ -205,7 +222,7 @@ def _dns(b: bytes):
 
 def _ntp(b: bytes):
     _need(b, 48)
-    first, stratum, poll, precision, delay, spread, ref, *stamps = struct.unpack_from(">BBbbIIIQQQQ", b)
+    first, stratum, poll, precision, delay, spread, ref, *stamps = _S_BBBBIIIQQQQ.unpack_from(b)
     row = {"leap_indicator": first >> 6, "version": first >> 3 & 7, "mode": first & 7, "stratum": stratum, "poll": poll, "precision": precision, "root_delay": delay, "root_dispersion": spread, "reference_id": ref, "ntp_raw": b}
     return row | dict(zip(("reference_ts", "origin_ts", "receive_ts", "transmit_ts"), stamps, strict=True)), len(b), None
 
@@ -278,8 +295,6 @@ def dissect(linktype: int, frame: bytes, orig_len: int) -> tuple[int, list[tuple
             row, size, follow = _ipv6_ext(rest, *args) if name == "ipv6_ext" else _READ[name](rest)
         except (Stop, UnicodeError):
             break
-        if _BUILD[name](row) != rest[:size]:
-            break
         layers.append((name, row))
         bits |= COMPONENTS[name].mask
         at += size
@@ -315,25 +330,53 @@ def _decimal(v):
     return None if v is None else Decimal(v)
 
 
+def _dissected(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    """Frames to layers, column by column."""
+    at = {n: i for i, n in enumerate(batch.schema.names)}
+    n = batch.num_rows
+    bits_, payloads, sizes, extras = [], [], [], []
+    rows: dict[str, list[dict]] = {}
+    ends: dict[str, list[int]] = {}
+    for i, (frame, orig, linktype) in enumerate(zip(*(batch.column(at[c]).to_pylist() for c in ("frame", "orig_len", "linktype")), strict=True)):
+        frame = frame or b""
+        orig = max(orig or 0, len(frame))
+        bits, layers, payload = dissect(linktype, frame, orig)
+        bits_.append(bits)
+        payloads.append(payload)
+        sizes.append(len(frame))
+        extras.append(orig - len(frame))
+        for k, (name, row) in enumerate(layers):
+            row["layer_index"] = k
+            if name not in rows:
+                rows[name], ends[name] = [], [0] * n
+            rows[name].append(row)
+            ends[name][i] += 1
+    cols = [batch.column(at["session_id"]), batch.column(at["packet_id"]), batch.column(at["ts"]), pa.array(sizes, pa.int64()), pa.array(extras, pa.int64()), pa.array(bits_, pa.int64()), pa.array(payloads, pa.binary())]
+    for name in LAYERS:
+        kind = schema.field(name).type
+        if name not in rows:
+            cols.append(pa.nulls(n, kind))
+            continue
+        fields = kind.value_type
+        values = []
+        for f in fields:
+            v = [r[f.name] for r in rows[name]]
+            values.append(pa.array([_decimal(x) for x in v] if pa.types.is_decimal(f.type) else v, f.type))
+        offsets = [0]
+        for x in ends[name]:
+            offsets.append(offsets[-1] + x)
+        cols.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(values, fields=list(fields)), type=kind))
+    return pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
 def dissect_frames(frames: DataFrame) -> DataFrame:
     """Rows (session_id, packet_id, ts, orig_len, linktype, frame) to packets with an array of rows for each component."""
     schema = _arrow(DISSECTED)
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                out = []
-                for r in batch.slice(lo, 2000).to_pylist():
-                    frame = r["frame"] or b""
-                    orig = max(r["orig_len"] or 0, len(frame))
-                    bits, layers, payload = dissect(r["linktype"], frame, orig)
-                    row = {"session_id": r["session_id"], "packet_id": r["packet_id"], "ts": r["ts"], "incl_len": len(frame), "trunc_extra": orig - len(frame), "components": bits, "payload": payload}
-                    for i, (name, fields) in enumerate(layers):
-                        if name == "ntp":
-                            fields = fields | {k: _decimal(v) for k, v in fields.items() if k.endswith("_ts")}
-                        row.setdefault(name, []).append({"layer_index": i, **fields})
-                    out.append(row)
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
+            for lo in range(0, batch.num_rows, 5000):
+                yield _dissected(batch.slice(lo, 5000), schema)
 
     return frames.select("session_id", "packet_id", "ts", "orig_len", "linktype", "frame").mapInArrow(run, DISSECTED)
 

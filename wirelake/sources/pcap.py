@@ -50,7 +50,7 @@ class Meta:
         return 1 if self.time_res == "ns" else 1000
 
 
-@dataclass(frozen=True)
+@dataclass(slots=True)
 class Frame:
     ts: int
     orig_len: int
@@ -192,6 +192,12 @@ def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "content")
 
 
+def _batch(row: dict, found: list[Frame], first: int, schema: pa.Schema) -> pa.RecordBatch:
+    n = len(found)
+    cols = [[row["session_id"]] * n, [row["path"]] * n, range(first, first + n), [f.ts for f in found], [f.orig_len for f in found], [f.linktype for f in found], [f.data for f in found]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
 def read_frames(files: DataFrame, most: int | None = None) -> DataFrame:
     """Rows of binaryFile to frames with their session id. Files that aren't captures give none."""
     name = F.element_at(F.split("path", "/"), -1)
@@ -205,17 +211,18 @@ def read_frames(files: DataFrame, most: int | None = None) -> DataFrame:
         for b in batches:
             for r in range(b.num_rows):
                 row = b.slice(r, 1).to_pylist()[0]
-                out = []
+                found, first = [], 0
                 try:
-                    for i, f in enumerate(frames(row["content"], most)):
-                        out.append({"session_id": row["session_id"], "path": row["path"], "packet_id": i, "ts": f.ts, "orig_len": f.orig_len, "linktype": f.linktype, "frame": f.data})
-                        if len(out) == 5000:
-                            yield pa.RecordBatch.from_pylist(out, schema=schema)
-                            out = []
+                    for f in frames(row["content"], most):
+                        found.append(f)
+                        if len(found) == 5000:
+                            yield _batch(row, found, first, schema)
+                            first += len(found)
+                            found = []
                 except CaptureError:
                     pass
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                if found:
+                    yield _batch(row, found, first, schema)
 
     return keyed.mapInArrow(run, kind)
 
