@@ -7,6 +7,7 @@ executor costs the repetition of the running stage and nothing else.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,12 +42,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 def drop_stash(df: DataFrame) -> None:
     """Delete the files of a stashed table that no later plan reads."""
     spark = df.sparkSession
-    jvm, root = spark.sparkContext._jvm, shared_root(spark)
+    jvm = spark.sparkContext._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/wirelake/" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    del root
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,13 +25,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import crc_mod, slices, stash, table, text_bytes
+from .common import crc_mod, drop_stash, free_shuffles, slices, stash, table, text_bytes
 
-STATES, TOP, ENDINGS, ROUNDS, BLOCK_TOKENS, SEED_CLASSES = 8, 1536, 1024, 2, 1_500_000, 256
+STATES, TOP, ENDINGS, ROUNDS, BLOCK_TOKENS, SEED_CLASSES = 8, 1536, 1024, 2, 3_000_000, 256
 CLASSES = TOP + ENDINGS + 1
 UNKNOWN = CLASSES - 1
 FOLDS, HELD = 7, 2
@@ -41,6 +42,17 @@ BLOCKS = "block long, ids array<long>, lens array<int>, train array<boolean>, to
 SEQUENCES = "block long, ids array<long>, lens array<int>, train array<boolean>, classes binary, known array<int>, base array<double>, lexical array<double>"
 
 
+def _squeeze(numbers: np.ndarray) -> bytes:
+    """Small non-negative numbers as compressed planes of their bytes."""
+    planes = np.ascontiguousarray(numbers.astype("<u4")).view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _swell(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 def _intern(batches):
     """Documents (id, text, train) to blocks with their own vocabularies."""
     from pyspark import TaskContext
@@ -52,9 +64,13 @@ def _intern(batches):
     def out():
         nonlocal vocab, ids, lens, train, tokens, size, seq
         flat = np.concatenate(tokens)
+        often = np.argsort(-np.bincount(flat, minlength=len(vocab)), kind="stable")  # frequent words get small numbers
+        number = np.empty_like(often)
+        number[often] = np.arange(len(often))
+        words = list(vocab)
         learned = np.repeat(np.array(train), np.array(lens))
-        seen = np.bincount(flat[learned], minlength=len(vocab))
-        cols = [[part << 24 | seq], [ids], [lens], [train], [flat.tobytes()], [list(vocab)], [seen.tolist()]]
+        seen = np.bincount(flat[learned], minlength=len(vocab))[often]
+        cols = [[part << 24 | seq], [ids], [lens], [train], [_squeeze(number[flat])], [[words[i] for i in often.tolist()]], [seen]]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
         b = pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in BLOCKS.split(", ")])
         vocab, ids, lens, train, tokens, size, seq = {}, [], [], [], [], 0, seq + 1
@@ -86,28 +102,22 @@ class Lexicon:
 
 
 def _sequencer(lex: Lexicon):
-    """Blocks with their vocabularies' counts to class sequences and the parts of the scores that need no state."""
-
-    def run(batches):
-        denominator = math.log10(lex.total + lex.types + 1)
-        for b in slices(batches, 1):
-            r = {n: b.column(i)[0] for i, n in enumerate(b.schema.names)}
-            lens = np.array(r["lens"].as_py())
-            v = r["vocab"].values
-            local, cls, c = (v.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            n = len(local)
-            count, kind = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            count[local], kind[local] = c, np.where(c > 0, cls, UNKNOWN)
-            flat = np.frombuffer(r["tokens"].as_py(), np.int32)
-            at = np.concatenate(([0], np.cumsum(lens)[:-1]))
-            base = np.log10(count + 1.0) - denominator
-            share = np.where(count > 0, np.log(np.maximum(count, 1) / np.maximum(lex.mass[kind], 1)), 0.0)
-            cols = [
-                [r["block"].as_py()], [r["ids"].as_py()], [r["lens"].as_py()], [r["train"].as_py()], [kind[flat].astype(np.uint16).tobytes()],
-                [np.add.reduceat((count > 0)[flat].astype(np.int64), at).tolist()], [np.add.reduceat(base[flat], at).tolist()], [np.add.reduceat(share[flat], at).tolist()],
-            ]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64())]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in SEQUENCES.split(", ")])
+    """A block and its vocabulary's counts to class sequences and the parts of the scores that need no state."""
+    names = [f.split()[0] for f in SEQUENCES.split(", ")]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64())]
+
+    def run(block: pa.Table, vocab: pa.Table) -> pa.Table:
+        r = block.to_pylist()[0]
+        lens = np.array(r["lens"])
+        local, cls, c = (vocab.column(k).to_numpy() for k in ("local", "cls", "c"))
+        count, kind = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
+        count[local], kind[local] = c, np.where(c > 0, cls, UNKNOWN)
+        flat = _swell(r["tokens"])
+        at = np.concatenate(([0], np.cumsum(lens)[:-1]))
+        base = np.log10(count + 1.0) - math.log10(lex.total + lex.types + 1)
+        share = np.where(count > 0, np.log(np.maximum(count, 1) / np.maximum(lex.mass[kind], 1)), 0.0)
+        cols = [[r["block"]], [r["ids"]], [r["lens"]], [r["train"]], [_squeeze(kind[flat])], *([np.add.reduceat(x[flat], at)] for x in ((count > 0).astype(np.int32), base, share))]
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     return run
 
@@ -168,18 +178,17 @@ class Steps:
         return alpha[: self.active[0]].sum(0) if len(self.active) else np.zeros(len(model.start)), moves * model.move, counts
 
 
-def _pieces(block, size: int = 400_000):
-    """Steps of the training documents of a block, a bounded number of tokens at a time (or one document)."""
-    lens, train = np.array(block["lens"]), np.array(block["train"], bool)
+def _pieces(block, pick: np.ndarray, size: int = 400_000):
+    """(documents, their Steps) for the chosen documents of a block, a bounded number of tokens at a time (or one document)."""
+    lens = np.array(block["lens"])
     ends = np.cumsum(lens)
-    classes = np.frombuffer(block["classes"], np.uint16)
+    classes = _swell(block["classes"])
     # alike lengths together: few documents go on alone
-    pick = np.flatnonzero(train)
     pick = pick[np.argsort(lens[pick], kind="stable")]
     group = np.cumsum(lens[pick]) // size
     for g in np.unique(group):
         docs = pick[group == g]
-        yield Steps(np.concatenate([classes[ends[d] - lens[d] : ends[d]] for d in docs]), lens[docs])
+        yield docs, Steps(np.concatenate([classes[ends[d] - lens[d] : ends[d]] for d in docs]), lens[docs])
 
 
 def _counter(share):
@@ -188,7 +197,8 @@ def _counter(share):
         k = len(model.start)
         start, moves, counts = np.zeros(k), np.zeros((k, k)), np.zeros((k, CLASSES))
         for b in slices(batches, 1):
-            for steps in _pieces(b.to_pylist()[0]):
+            block = b.to_pylist()[0]
+            for _, steps in _pieces(block, np.flatnonzero(block["train"])):
                 s, m, c = steps.expect(model)
                 start, moves, counts = start + s, moves + m, counts + c
         rows = np.concatenate((counts.T, moves, start[None]))
@@ -203,7 +213,7 @@ def _together(batches):
     for b in slices(batches, 1):
         r = b.to_pylist()[0]
         lens, train = np.array(r["lens"]), np.array(r["train"], bool)
-        classes = np.frombuffer(r["classes"], np.uint16)
+        classes = _swell(r["classes"])
         doc = np.repeat(np.arange(len(lens)), lens)
         use = (classes < SEED_CLASSES) & train[doc]
         for lo in range(0, len(lens), 2000):
@@ -289,9 +299,14 @@ def prepare(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tupl
     for r in classed.where("first").groupBy("cls").agg(F.sum("c").alias("c")).collect():  # CLASSES rows at most
         mass[r.cls] = r.c
     lex = Lexicon(int(total), int(kinds), int(once), mass)
-    vocab = classed.groupBy("block").agg(F.collect_list(F.struct(F.col("local"), F.col("cls"), F.col("c"))).alias("vocab"))  # a block's size is bounded
-    joined = blocks.drop("words", "seen").join(vocab, "block")
-    return stash(joined.mapInArrow(_sequencer(lex), SEQUENCES), "hmm-sequences"), lex
+    by_block = classed.select("block", "local", "cls", "c").groupBy("block")  # a block's size is bounded
+    sequences = blocks.drop("words", "seen").groupBy("block").cogroup(by_block).applyInArrow(_sequencer(lex), SEQUENCES)
+    sequences = stash(sequences, "hmm-sequences")
+    drop_stash(blocks)
+    drop_stash(counted)
+    del classed, by_block, types, words
+    free_shuffles(spark)
+    return sequences, lex
 
 
 def score(sequences: DataFrame, lex: Lexicon, model: Model) -> DataFrame:
@@ -302,7 +317,9 @@ def score(sequences: DataFrame, lex: Lexicon, model: Model) -> DataFrame:
         for b in slices(batches, 1):
             r = b.to_pylist()[0]
             lens = np.array(r["lens"])
-            like = Steps(np.frombuffer(r["classes"], np.uint16), lens).forward(share.value)
+            like = np.zeros(len(lens))
+            for docs, steps in _pieces(r, np.arange(len(lens))):
+                like[docs] = steps.forward(share.value)
             total = (like + np.array(r["lexical"])) / math.log(10)
             cols = [pa.array(r["ids"], pa.int64()), pa.array([not x for x in r["train"]]), pa.array(lens, pa.int64()), pa.array(r["known"], pa.int64()), pa.array([lex.total] * len(lens), pa.int64()), pa.array(r["base"], pa.float64()), pa.array(total)]
             yield pa.record_batch(cols, names=names)
