@@ -86,7 +86,7 @@ def flow_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows (path, content) as of binaryFile: one classic capture for each partition of events, with real frames of five kinds."""
+    """Rows (path, content) as of binaryFile: one classic capture for each range of events, with real frames of five kinds."""
     import struct
 
     import pyarrow as pa
@@ -121,4 +121,5 @@ def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                 yield pa.record_batch([pa.array([f"events-{first}.pcap"]), pa.array([b"".join(out)], pa.binary())], names=["path", "content"])
 
     rows = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "props", F.expr("unix_micros(CAST(ts AS TIMESTAMP)) * 1000").alias("ts"))
-    return rows.mapInArrow(run, "path string, content binary")
+    parts = max(1, spark.sparkContext.defaultParallelism)
+    return rows.repartitionByRange(parts, "event_id").sortWithinPartitions("event_id").mapInArrow(run, "path string, content binary")
