@@ -29,7 +29,7 @@ from pyspark.sql import Window
 
 from .common import table
 
-BLOCK, MOST_BLOCKS, BUCKET_ROWS = 64, 100_000, 2_000
+BLOCK, MOST_BLOCKS, BUCKET_ROWS, BUCKET_GROUP = 64, 100_000, 256, 1024
 
 
 def fluid(weights: list[float], blocks: list[int]) -> list[tuple[list[float], list[float]]]:
@@ -102,8 +102,14 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, source:
     buckets = max(1, math.ceil(total / BUCKET_ROWS))
     rows = rows.withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
     filled = rows.groupBy("_source", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = filled.select("_source", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # sums before a bucket in two steps, so that no window holds all buckets of a source
+    filled = filled.withColumn("_group", F.floor(F.col("_bucket") / BUCKET_GROUP))
+    groups = filled.groupBy("_source", "_group").agg(F.sum("_n").alias("_m"))
+    earlier = lambda by, at: Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("_source", "_group", F.coalesce(F.sum("_m").over(earlier(["_source"], "_group")), F.lit(0)).alias("_base"))
+    inner = F.coalesce(F.sum("_n").over(earlier(["_source", "_group"], "_bucket")), F.lit(0))
+    offsets = filled.select("_source", "_group", "_bucket", inner.alias("_inner")).join(groups, ["_source", "_group"])
+    offsets = offsets.select("_source", "_bucket", (F.col("_base") + F.col("_inner")).alias("_before"))
     inside = Window.partitionBy("_source", "_bucket").orderBy("_hash")
     ranked = rows.withColumn("_rank", F.row_number().over(inside) - 1)
     ranked = ranked.join(offsets, ["_source", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
