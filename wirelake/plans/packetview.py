@@ -14,6 +14,9 @@ FLAGS = "CASE event_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 18 WHEN 2 THEN 16 WHEN 3 TH
 KEY = "CAST(user_id % 8 AS BIGINT) AS session_id, event_id AS packet_id"
 SRC4, DST4 = "CAST(167772160 + user_id AS BIGINT)", "CAST(167772160 + event_id % 97 AS BIGINT)"
 
+#: Nanoseconds of a time without zone, whatever the session's zone.
+NANOS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) * 1000"
+
 #: name: (columns after the keys, condition)
 PARTS = {
     "ethernet": (f"CASE WHEN event_type = 'purchase' THEN 34525 WHEN event_type = 'signup' THEN 2054 ELSE 2048 END AS type, CAST(length(props) + 14 AS INT) AS len", "true"),
@@ -52,8 +55,7 @@ def _fill(df: DataFrame, name: str) -> DataFrame:
 
 def store(spark: SparkSession, sf_dir: str) -> Store:
     events = read(spark, sf_dir, "events")
-    ts = "unix_micros(CAST(ts AS TIMESTAMP)) * 1000"
-    tables = {"packets": _fill(events.selectExpr(*_cols(PACKETS.format(ts=ts))), "packets")}
+    tables = {"packets": _fill(events.selectExpr(*_cols(PACKETS.format(ts=NANOS))), "packets")}
     for name, (cols, cond) in PARTS.items():
         tables[name] = _fill(events.where(cond).selectExpr(*_cols(KEY), "1 AS layer_index", *_cols(cols)), name)
     dot1q = events.where("event_id % 7 = 0").withColumn("l", F.explode(F.array(F.lit(1), F.lit(2))))
@@ -120,6 +122,6 @@ def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             if first is not None:
                 yield pa.record_batch([pa.array([f"events-{first}.pcap"]), pa.array([b"".join(out)], pa.binary())], names=["path", "content"])
 
-    rows = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "props", F.expr("unix_micros(CAST(ts AS TIMESTAMP)) * 1000").alias("ts"))
+    rows = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "props", F.expr(NANOS).alias("ts"))
     parts = max(1, spark.sparkContext.defaultParallelism)
     return rows.repartitionByRange(parts, "event_id").sortWithinPartitions("event_id").mapInArrow(run, "path string, content binary")
