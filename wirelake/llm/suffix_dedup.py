@@ -144,8 +144,10 @@ def _combined(parts: list[tuple]):
     doc, key, name, run = doc[order], key[order], name[order], run[order]
     first = np.concatenate(([True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])))
     s, e, d = _merged(doc[~first], run[~first]) if not first.all() else (np.zeros(0, np.int64),) * 3
-    n = int(first.sum())
-    cols = [np.concatenate((np.zeros(n, bool), np.ones(len(s), bool))), np.concatenate((key[first], s)), np.concatenate((name[first], e)), np.concatenate((doc[first], d)), np.concatenate((run[first], np.zeros(len(s), np.int64)))]
+    back = np.lexsort((run[first], doc[first]))  # in the order of documents the last two columns take little room
+    doc_, key_, name_, run_ = (c[first][back] for c in (doc, key, name, run))
+    n = len(back)
+    cols = [np.concatenate((np.zeros(n, bool), np.ones(len(s), bool))), np.concatenate((key_, s)), np.concatenate((name_, e)), np.concatenate((doc_, d)), np.concatenate((run_, np.zeros(len(s), np.int64)))]
     return pa.record_batch([pa.array(c) for c in cols], names=["dup", "key", "name", "doc", "run"])
 
 
@@ -171,8 +173,8 @@ def _resolve(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Byte spans (doc, s, e) that repeat, and the runs (doc, run) that need the next round."""
     runs = rows.where("not dup").select("key", "name", "doc", "run")
     often = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    again = stash(runs.join(often.hint("merge"), "key", "left_semi"), "suffix-again")
-    first = stash(again.groupBy("key", "name").agg(F.min(F.struct("doc", "run")).alias("f")), "suffix-first")
+    again = stash(runs.join(often.hint("merge"), "key", "left_semi"), "suffix-again", "zstd")
+    first = stash(again.groupBy("key", "name").agg(F.min(F.struct("doc", "run")).alias("f")), "suffix-first", "zstd")
     spans = again.join(first.hint("merge"), ["key", "name"]).where("doc != f.doc or run != f.run").select("doc", F.shiftright("run", 14).alias("s"), (F.shiftright("run", 14) + F.col("run").bitwiseAND(127) - 1 + LENGTH).alias("e"))
     spans = rows.where("dup").select("doc", F.col("key").alias("s"), F.col("name").alias("e")).unionByName(spans)
     several = first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
@@ -240,15 +242,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     numbered, ids = _numbered(docs, id_col, text)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"wirelake_suffix_{uuid.uuid4().hex}"
-    numbered.repartition(parts, "doc").write.bucketBy(parts, "doc").saveAsTable(name, format="parquet")
+    numbered.repartition(parts, "doc").write.option("compression", "zstd").bucketBy(parts, "doc").saveAsTable(name, format="parquet")
     texts = spark.table(name)
-    rows = stash(texts.select("doc", "t").mapInArrow(_rounds(_first_round, False), ROWS), "suffix-owners")
+    rows = stash(texts.select("doc", "t").mapInArrow(_rounds(_first_round, False), ROWS), "suffix-owners", "zstd")
     spans = []
     for make in (_finer, _exact):
         found, more = _resolve(rows)
         spans.append(found)
         each = more.groupBy("doc").agg(F.collect_list("run").alias("runs"))  # at most a number for each window of a document
-        rows = stash(texts.join(each.hint("merge"), "doc").select("doc", "t", "runs").mapInArrow(_rounds(make, True), ROWS), "suffix-rows")
+        rows = stash(texts.join(each.hint("merge"), "doc").select("doc", "t", "runs").mapInArrow(_rounds(make, True), ROWS), "suffix-rows", "zstd")
         drop_stash(more)
     spans.append(_resolve(rows)[0])
     union = spans[0].unionByName(spans[1]).unionByName(spans[2])
