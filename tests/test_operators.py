@@ -1,6 +1,7 @@
 import hashlib
 import hmac
 import ipaddress
+import os
 import random
 
 import pytest
@@ -12,6 +13,7 @@ from wirelake.functions import pseudonym
 from wirelake.operators import flows, geoip, reassembly, sanitize
 from wirelake.plans import search as S
 from wirelake.plans.language import FilterError
+from wirelake.plans.store import Store
 from wirelake.registry import display_schema, identifier
 
 
@@ -142,3 +144,15 @@ def test_registry():
 def test_arrays_keep_the_order_of_layers(spark):
     df = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, "c"), (1, 3, None)], "k int, i int, v string")
     assert {r.k: r.v for r in reassembly.arrays_by_layer(df, ["k"], ["i"], ["v"]).collect()} == {1: ["a", "b", None], 2: ["c"]}
+
+
+def test_the_merge_numbers_every_packet(spark):
+    from wirelake.plans import queries as Q
+
+    rows = [(i * 7919 % 3000, i % 8, i) for i in range(5000)]
+    store = Store(spark, {"packets": spark.createDataFrame(rows, "ts long, session_id long, packet_id long").withColumn("components", F.lit(0).cast("long"))})
+    got = [(r.n, r.ts, r.session_id, r.packet_id) for r in reassembly.merge_order(store).collect()]
+    assert sorted(got) == [(n, *r) for n, r in enumerate(sorted(rows), 1)]
+    events = "/root/testdata/sf0.001"
+    if os.path.isdir(events):
+        assert Q.QUERIES["merge_captures_all"](spark, events).count() == spark.read.parquet(f"{events}/events.parquet").count() > 500

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -52,6 +54,26 @@ def export_rows(store: Store, text: str = "", scope: Scope = Scope()) -> DataFra
     return out.orderBy(*ORDER)
 
 
+def merge_order(store: Store, text: str = "", scope: Scope = Scope()) -> DataFrame:
+    """(n, ts, session_id, packet_id) of all matching packets: their places from 1 in export order, over all captures.
+
+    One range sort; a row's place is its place in its sorted partition and the sizes of the partitions before it. The sorted keys are written
+    to the checkpoint folder first, so that sizes and places come from the same partitions.
+    """
+    sc = store.spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="wirelake-"))
+    # the upper bits of the number are the partition, the lower 33 the place in it
+    rows = matching(store, text, scope).orderBy(*ORDER).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    rows = rows.select("ts", *KEYS, F.shiftright("_at", 33).cast("int").alias("_part"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_place"))
+    before, total = [], 0
+    for part, size in sorted(rows.groupBy("_part").count().collect()):  # one row for each partition
+        before.append((part, total))
+        total += size
+    offsets = store.spark.createDataFrame(before, "_part int, _before long")
+    return rows.join(F.broadcast(offsets), "_part").select((F.col("_before") + F.col("_place") + 1).alias("n"), *ORDER)
+
+
 def export_meta(captures: DataFrame) -> DataFrame:
     """The header of a capture made of several: largest snap length (65535 at least), the link type if all agree, else Ethernet."""
     types = F.collect_set("linktype")  # a handful of link types exist

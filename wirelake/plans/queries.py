@@ -219,11 +219,14 @@ def wide_view_filter(spark, d):
 
 @query("SELECT row_number() OVER (ORDER BY ts, session_id, packet_id) AS n, session_id, packet_id FROM p ORDER BY 1 LIMIT 500")
 def merge_captures(spark, d):
-    rows = S.page(V.store(spark, d), "", 500)
-    from pyspark.sql import Window
+    """The head of the merge, as its SQL has it."""
+    return plain(reassembly.merge_order(V.store(spark, d)).where("n <= 500").select("n", *KEYS))
 
-    # 500 rows
-    return plain(rows.select(F.row_number().over(Window.orderBy(*S.ORDER)).cast("long").alias("n"), "session_id", "packet_id"))
+
+@query("SELECT row_number() OVER (ORDER BY ts, session_id, packet_id) AS n, session_id, packet_id FROM p")
+def merge_captures_all(spark, d):
+    """The merge of all captures: every packet with its place."""
+    return plain(reassembly.merge_order(V.store(spark, d)).select("n", *KEYS))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) = 1", views=False)
