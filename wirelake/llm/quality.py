@@ -3,8 +3,9 @@
 Counts per text (words are runs of characters outside the contract's white space) give votes of ``RULES``: keep,
 drop or abstain. Expectation-maximisation over the counts of vote patterns (at most 3 to the number of rules
 rows, whatever the corpus) estimates how often each rule says keep, drop or nothing in good and in
-bad documents, and the share of good ones. A document's posterior probability of being good replaces
-the demand that it pass every rule; a document that fails the base rules is never kept.
+bad documents, and the share of good ones. A document's posterior probability of being good is its quality; with ``MOST``
+one drop vote outweighs all keep votes of these rules on the tables at hand, so that kept there means passing every rule (figures in the README).
+A document that fails the base rules is never kept.
 
 Repeated five-word windows: each window is named by a 64-bit hash, the hashes of a text are sorted with their positions, and
 the words under windows with an equal neighbour are counted; texts without repeats skip the sort. Nothing is shuffled but the
