@@ -156,3 +156,19 @@ def test_the_merge_numbers_every_packet(spark):
     events = "/root/testdata/sf0.001"
     if os.path.isdir(events):
         assert Q.QUERIES["merge_captures_all"](spark, events).count() == spark.read.parquet(f"{events}/events.parquet").count() > 500
+
+
+def http_packets(spark, parts, session=1):
+    """A flow: handshake, then (from the client?, payload) of each packet."""
+    rows = [(session, 0, True, 2, b""), (session, 1, False, 18, b"")] + [(session, 2 + i, c, 24, p) for i, (c, p) in enumerate(parts)]
+    return spark.createDataFrame([(s, i, bytearray(b"c" * 16 if c else b"s" * 16), bytearray(b"s" * 16 if c else b"c" * 16), 4000 if c else 80, 80 if c else 4000, f, bytearray(p)) for s, i, c, f, p in rows], "session_id long, packet_id long, src_ip binary, dst_ip binary, src_port int, dst_port int, flags int, payload binary")
+
+
+def test_http_host_after_many_packets(spark):
+    head = b"GET /far HTTP/1.1\r\nCookie: " + b"x" * 300 + b"\r\nhOsT:  far.example \r\n\r\n"
+    cases = [[(True, head[i : i + 1]) for i in range(len(head))], [(True, head[:30])] + [(False, b"chatter\n")] * 100 + [(True, b"\nHost: late\r\n")], [(True, b"GET / HTTP/1.0\r\n")] + [(True, b"A: 1\r\n")] * 70 + [(True, b"\r\n")], [(True, b"GET /end HTTP/1.1\r\nHost:"), (True, b"cut")], [(True, head), (True, b"\nHost: second\n")]]
+    packets = http_packets(spark, cases[0])
+    for n, c in enumerate(cases[1:], 2):
+        packets = packets.unionByName(http_packets(spark, c, n))
+    rows = {r.session_id: (r.method, r.host, r.path) for r in flows.http_streams(packets, flows.streams(packets)).collect()}
+    assert rows == {1: ("GET", "far.example", "/far"), 2: ("GET", "late", "/far"), 3: ("GET", "", "/"), 4: ("GET", "cut", "/end"), 5: ("GET", "far.example", "/far")}

@@ -16,7 +16,7 @@ from ..registry import KEYS, in_sessions
 TCP, FIN, SYN, ACK = 6, 1, 2, 16
 #: Starts of HTTP messages. Fixed values.
 HTTP_STARTS = ("GET ", "POST", "HEAD", "PUT ", "DELETE ", "OPTIONS ", "PATCH ", "HTTP/")
-HTTP_PACKETS, PREFIX = 64, 8
+PREFIX = 8
 FLOW = ["session_id", "lo_ip", "hi_ip", "lo_port", "hi_port"]
 
 
@@ -105,15 +105,94 @@ def streams(packets: DataFrame) -> DataFrame:
     )
 
 
+class HttpFold:
+    """What a flow's payloads, fed in order, say: the first request line and the first Host that isn't empty. Holds one unfinished line at most, and no more of a line than can matter."""
+
+    def __init__(self):
+        self.method = self.path = self.host = ""
+        self.first, self.line, self.size, self.skip, self.spaces = True, [], 0, False, 0
+
+    @property
+    def done(self) -> bool:
+        return not self.first and bool(self.host)
+
+    def feed(self, payload: bytes) -> None:
+        *whole, rest = payload.split(b"\n")
+        for part in whole:
+            self._add(part)
+            self.end()
+            if self.done:
+                return
+        self._add(rest)
+
+    def _add(self, part: bytes) -> None:
+        if self.skip or not part:
+            return
+        self.line.append(part)
+        self.size += len(part)
+        if self.first:
+            self.spaces += part.count(b" ")
+            self.skip = self.spaces >= 2  # method and path are whole
+        elif self.size >= 5:
+            if len(self.line) > 1 and self.size - len(part) < 5:
+                self.line = [b"".join(self.line)]
+            if self.line[0][:5].lower() != b"host:":
+                self.skip, self.line = True, []
+
+    def end(self) -> None:
+        """The line is over."""
+        text = b"".join(self.line).decode("latin-1").rstrip("\r")
+        if self.first:
+            self.method, self.path = (*text.split(" ", 2), "")[:2]
+            self.first = False
+        elif not self.host and text[:5].lower() == "host:":
+            self.host = text[5:].strip()
+        self.line, self.size, self.skip = [], 0, False
+
+
+def _fold_http(batches):
+    """Payloads sorted by stream and packet to one row for each stream."""
+    import pyarrow as pa
+
+    now, fold = None, HttpFold()
+
+    def row(rows):
+        return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.decimal128(20, 0), pa.string(), pa.string(), pa.string(), pa.string()])], names=["session_id", "stream_id", "method", "host", "path"])
+
+    def close():
+        if not fold.done:
+            fold.end()
+        return (*now, fold.method, fold.host, fold.path)
+
+    for batch in batches:
+        out = []
+        for session, stream, payload in zip(*(c for c in batch.columns), strict=True):
+            key = (session.as_py(), stream.as_py())
+            if key != now:
+                if now is not None:
+                    out.append(close())
+                now, fold = key, HttpFold()
+            if not fold.done:
+                fold.feed(payload.as_py())
+        if out:
+            yield row(out)
+    if now is not None:
+        yield row([close()])
+
+
 def http_streams(packets: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of stream_http: request line and Host of HTTP flows, from their first ``HTTP_PACKETS`` packets with payload."""
+    """Rows of stream_http: request line and Host of HTTP flows, folded over their payloads in order until both are found, however many packets that takes.
+
+    Packets after a flow's first one that holds a whole Host line can't matter and are left out before the rows are dealt and sorted.
+    """
     http = found.where("l7_proto = 'http'").select(*FLOW, "stream_id")
-    rows = canonical(packets).where(F.octet_length("payload") > 0).join(http, FLOW)
-    rank = F.row_number().over(Window.partitionBy(*FLOW).orderBy("packet_id"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("packet_id", F.decode("payload", "ISO-8859-1").alias("t")))), lambda x: x["t"]), "")
-    each = rows.withColumn("_rn", rank).where(F.col("_rn") <= HTTP_PACKETS).groupBy("session_id", "stream_id").agg(text.alias("t"))
-    first = F.split(F.get(F.split("t", "\r?\n"), F.lit(0)), " ", 3)
-    return each.select("session_id", "stream_id", F.get(first, F.lit(0)).alias("method"), F.trim(F.regexp_extract("t", r"(?im)^host:[ \t]*([^\r\n]*)", 1)).alias("host"), F.coalesce(F.get(first, F.lit(1)), F.lit("")).alias("path"))
+    rows = canonical(packets).where(F.octet_length("payload") > 0).join(http, FLOW).select(F.col("session_id").cast("decimal(20,0)").alias("session_id"), "stream_id", "packet_id", "payload")
+    whole = F.decode("payload", "ISO-8859-1").rlike(r"(?i)\nhost:[^\n]*[!-~][^\n]*\n")
+    last = rows.where(whole).groupBy("stream_id").agg(F.min("packet_id").alias("_last"))
+    rows = rows.join(last, "stream_id", "left").where("_last is null or packet_id <= _last")
+    sorted_ = rows.repartition("stream_id").sortWithinPartitions("stream_id", "packet_id").select("session_id", "stream_id", "payload")
+    out = sorted_.mapInArrow(_fold_http, "session_id decimal(20,0), stream_id string, method string, host string, path string")
+    return out.withColumn("session_id", F.col("session_id").cast(packets.schema["session_id"].dataType))
 
 
 def _condition(sessions: tuple[int, ...], l7: str | None):
