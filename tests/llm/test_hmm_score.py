@@ -110,3 +110,13 @@ def test_empty_table_and_no_training(spark):
 def test_numbers_survive_packing():
     x = np.array([0, 1, 255, 256, 65536, 2**31])
     assert (H._swell(H._squeeze(x)) == x).all() and len(H._swell(H._squeeze(x[:0]))) == 0
+
+
+@pytest.mark.parametrize("states", [1, 3])
+def test_unknown_words_keep_the_mass_of_words_seen_once(spark, corpus, states):
+    sequences, lex = H.prepare(frame(spark, corpus))
+    m = H.train(sequences, lex, rounds=2, states=states)
+    want = lex.once / (lex.total + lex.once)
+    assert lex.rare.sum() == lex.once and m.emit[:, H.UNKNOWN].max() > 0.9 * want
+    if states == 1:
+        assert m.emit[0, H.UNKNOWN] == pytest.approx(want, rel=0.05)

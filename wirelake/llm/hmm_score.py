@@ -5,7 +5,7 @@ vocabulary; only vocabularies are shuffled, to count every word over the whole t
 
 Model: ``STATES`` latent states with transitions A emit token classes with probabilities B; a token has a fixed share of its class.
 The ``TOP`` most frequent words are classes of their own, all others share classes by their ending, and a word that training never saw is the
-class of unknown words, whose mass is that of words seen once. So the parameters have a fixed size, every word counts, and
+class of unknown words, whose mass in each state and after each round is that of words seen once. So the parameters have a fixed size, every word counts, and
 the probabilities of all token sequences sum to one.
 
 Training: the classes' co-occurrence in documents (a fixed-size matrix summed over the corpus) groups the frequent classes; each group starts a
@@ -99,6 +99,7 @@ class Lexicon:
     types: int
     once: int
     mass: np.ndarray  # learned tokens of each class
+    rare: np.ndarray  # words seen once of each class
 
 
 def _sequencer(lex: Lexicon):
@@ -274,7 +275,10 @@ def train(sequences: DataFrame, lex: Lexicon, rounds: int = ROUNDS, states: int
         share = sc.broadcast(model)  # states x classes, whatever the corpus
         names = [f"s{j}" for j in range(states)]
         rows = _sum_rows(sequences.mapInArrow(_counter(share), "row int, " + ", ".join(f"{n} double" for n in names)), "row", CLASSES + states + 1, names)
-        model = _normal(rows[-1], rows[CLASSES:-1], rows[:CLASSES].T, prior)
+        counts = rows[:CLASSES].T.copy()
+        # no training sequence holds UNKNOWN: a state gets as many as it is expected to emit words seen once
+        counts[:, UNKNOWN] = counts @ (lex.rare / np.maximum(lex.mass, 1))
+        model = _normal(rows[-1], rows[CLASSES:-1], counts, prior)
     return model
 
 
@@ -295,10 +299,10 @@ def prepare(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tupl
     spark = docs.sparkSession
     rank = spark.createDataFrame([(r.wh, i) for i, r in enumerate(top)], "wh long, rank int")
     classed = counted.join(F.broadcast(rank), "wh", "left").withColumn("cls", F.coalesce("rank", "ending"))
-    mass = np.zeros(CLASSES, np.int64)
-    for r in classed.where("first").groupBy("cls").agg(F.sum("c").alias("c")).collect():  # CLASSES rows at most
-        mass[r.cls] = r.c
-    lex = Lexicon(int(total), int(kinds), int(once), mass)
+    mass, rare = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    for r in classed.where("first").groupBy("cls").agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once")).collect():  # CLASSES rows at most
+        mass[r.cls], rare[r.cls] = r.c, r.once
+    lex = Lexicon(int(total), int(kinds), int(once), mass, rare)
     by_block = classed.select("block", "local", "cls", "c").groupBy("block")  # a block's size is bounded
     sequences = blocks.drop("words", "seen").groupBy("block").cogroup(by_block).applyInArrow(_sequencer(lex), SEQUENCES)
     sequences = stash(sequences, "hmm-sequences")
