@@ -88,3 +88,37 @@ def test_gap_log(spark, tmp_path):
     df = W.read(spark, str(tmp_path / "x.warc"))
     (gap,) = W.quarantine(df).collect()
     assert (gap.start, gap.end) == (len(a), len(a) + 7) and df.where("reason is null").count() == 2
+
+
+def ids_of(out):
+    return [W._id(x.headers["warc-record-id"]) for x in out if isinstance(x, W.Record)]
+
+
+def test_a_member_of_many_records_with_a_bad_one():
+    records = plain(6)
+    records[2] = records[2].replace(b"payload 2", b"payload X", 1)
+    out = list(W.salvage(W.member(b"".join(records)) + W.member(plain(8)[7])))
+    (gap,) = [x for x in out if isinstance(x, W.Gap)]
+    assert ids_of(out) == [0, 1, 3, 4, 5, 7] and gap.reason
+    assert (gap.start, gap.inner_start, gap.inner_end) == (0, sum(map(len, records[:2])), sum(map(len, records[:3])))
+
+
+def test_a_truncated_member_of_many_records():
+    rnd = random.Random(4)
+    records = [W.record(i, "u", rnd.randbytes(3000), None, False) for i in range(100)]
+    whole = W.member(b"".join(records))
+    for cut in (len(whole) // 2, len(whole) - 4):
+        out = list(W.salvage(whole[:cut]))
+        got = ids_of(out)
+        assert got == list(range(len(got))) and len(got) >= 100 * cut // len(whole) - 2
+        assert out[-1].reason == "member cut short" and (out[-1].start, out[-1].end) == (0, cut)
+
+
+def test_a_flipped_byte_in_a_member_of_many_records():
+    rnd = random.Random(6)
+    records = [W.record(i, "u", rnd.randbytes(3000), None, False) for i in range(100)]
+    whole = bytearray(W.member(b"".join(records)))
+    whole[len(whole) * 3 // 4] ^= 0xFF
+    after = W.member(W.record(200, "u", b"after", None, False))
+    out = list(W.salvage(bytes(whole) + after))
+    assert set(range(70)) | {200} <= set(ids_of(out)) and any(isinstance(x, W.Gap) for x in out)

@@ -8,7 +8,8 @@ to it and hold only the HTTP header. Archives are written by Spark's text writer
 Reading: archives of gzip members or of plain records. Every record must have a version line, the headers that the format
 requires (each once), a whole block of the stated length, and the
 digests it names. After a failed check the reader searches for the next valid member or version line and goes
-on there; the bytes between are logged as a quarantined gap with the reason.
+on there; the bytes between are logged as a quarantined gap with the reason. The same holds inside a member of many records,
+which is read as far as it can be decompressed.
 
 Edge cases: a null payload is empty; a null id is written as null and read back as null, and loses against any id of
 its group; pages with the same id and payload are all responses if that id is the largest; a null url is left out, line breaks in
@@ -33,10 +34,12 @@ MIN_REVISIT, RECORDS_PER_FILE, LEVEL = 0, 2000, 4
 DATE = "2024-01-01T00:00:00Z"
 URN = "urn:wirelake:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Compressed bytes that are decompressed at a time.
+STEP = 1 << 16
 GZIP, VERSION, END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
 #: Headers that every record has. Fixed values.
 REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
-RECORDS = "path string, start long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, gap_end long, reason string"
+RECORDS = "path string, start long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, gap_end long, reason string, inner_start long, inner_end long"
 
 
 def sha1_base32(data: bytes) -> str:
@@ -76,6 +79,9 @@ class Gap:
     start: int
     end: int
     reason: str
+    #: Places in a member's decompressed bytes, for gaps inside one.
+    inner_start: int | None = None
+    inner_end: int | None = None
 
 
 class Bad(ValueError):
@@ -120,54 +126,108 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return headers, block, end + len(END)
 
 
-def _read_at(data: bytes, at: int) -> tuple[list[Record], int]:
-    """The records of the member or the plain record at a place, and where it ends."""
-    if data[at : at + 3] == GZIP:
-        d = zlib.decompressobj(31)
+def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the member at a place decompresses to, where it ends, and what is wrong with it: then the bytes are those before the error."""
+    d, out, place, step = zlib.decompressobj(31), [], at, STEP
+    while not d.eof and place < len(data):
+        before = d.copy() if step > 1 else d
         try:
-            inner = d.decompress(memoryview(data)[at:])
-        except zlib.error as e:
-            raise Bad("member can't be decompressed") from e
-        if not d.eof:
-            raise Bad("member cut short")
-        out, place = [], 0
-        while place < len(inner):
-            headers, block, place = _parse(inner, place)
-            out.append(Record(at, headers, block))
-        return out, len(data) - len(d.unused_data)
-    headers, block, end = _parse(data, at)
-    return [Record(at, headers, block)], end
-
-
-def _next(data: bytes, at: int) -> int:
-    """The next place where a member or a version line may begin."""
-    a, b = data.find(GZIP, at), data.find(VERSION, at)
-    return min([x for x in (a, b) if x >= 0], default=len(data))
+            out.append(d.decompress(data[place : place + step]))
+        except zlib.error:
+            if step == 1:
+                return b"".join(out), place, "member can't be decompressed"
+            # the piece with the error again, byte by byte, for what comes before the error
+            d, step = before, 1
+            continue
+        place += step
+    if not d.eof:
+        return b"".join(out), len(data), "member cut short"
+    return b"".join(out), min(place, len(data)) - len(d.unused_data), ""
+
+
+def _next(data: bytes, at: int, *marks: bytes) -> int:
+    """The next place where one of the marks begins."""
+    return min([x for x in (data.find(m, at) for m in marks) if x >= 0], default=len(data))
+
+
+def _inside(inner: bytes, start: int, end: int, wrong: str) -> Iterator[Record | Gap]:
+    """Valid records of a member's bytes, and gaps with their places in the bytes."""
+    at, bad, reason = 0, None, ""
+    while at < len(inner):
+        try:
+            headers, block, after = _parse(inner, at)
+        except Bad as e:
+            if bad is None:
+                bad, reason = at, str(e)
+            at = _next(inner, at + 1, VERSION)
+            continue
+        if bad is not None:
+            yield Gap(start, end, reason, bad, at)
+            bad = None
+        yield Record(start, headers, block)
+        at = after
+    if bad is not None or wrong:
+        yield Gap(start, end, wrong or reason, len(inner) if bad is None else bad, len(inner))
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """All valid records in order, and the gaps between them that no valid record covers."""
+    """All valid records in order, and the gaps between them that no valid record covers.
+
+    A damaged member gives the records before, between and after its bad ones, as far as it can be decompressed; its gaps
+    name its start and end and the places in its decompressed bytes. If none of its records is valid, it is a plain gap.
+    """
     at, bad, reason = 0, None, ""
     while at < len(data):
         if data[at] == 0 and bad is None:
             at += 1
             continue
         try:
-            records, end = _read_at(data, at)
+            if data[at : at + len(GZIP)] == GZIP:
+                inner, end, wrong = _member(data, at)
+                if wrong:
+                    end = _after(data, at, end, inner)
+                found = list(_inside(inner, at, end, wrong))
+                if found and not any(isinstance(x, Record) for x in found):
+                    raise Bad(found[-1].reason)
+            else:
+                headers, block, end = _parse(data, at)
+                found = [Record(at, headers, block)]
         except Bad as e:
             if bad is None:
                 bad, reason = at, str(e)
-            at = _next(data, at + 1)
+            at = _next(data, at + 1, GZIP, VERSION)
             continue
         if bad is not None:
             yield Gap(bad, at, reason)
             bad = None
-        yield from records
+        yield from found
         at = end
     if bad is not None:
         yield Gap(bad, len(data), reason)
 
 
+def _after(data: bytes, at: int, error: int, inner: bytes) -> int:
+    """Where a damaged member is left: at the next place with a valid record, if it comes before the place of the error, else at the next mark after the error."""
+    place = _next(data, at + 1, GZIP, VERSION)
+    while place < error:
+        # deflate may store bytes as they are: what the member gave already doesn't count again
+        if data[place : place + 64] not in inner and _begins(data, place):
+            return place
+        place = _next(data, place + 1, GZIP, VERSION)
+    return _next(data, error, GZIP, VERSION)
+
+
+def _begins(data: bytes, at: int) -> bool:
+    """Whether a whole record, or a member with one, begins at a place."""
+    if data[at : at + len(GZIP)] == GZIP:
+        return any(isinstance(x, Record) for x in _inside(_member(data, at)[0], at, at, ""))
+    try:
+        _parse(data, at)
+    except Bad:
+        return False
+    return True
+
+
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url", html: str = "html", least: int = MIN_REVISIT) -> None:
     d = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url).cast("string").alias("url"), text_bytes(html).alias("payload"))
     d = d.withColumn("digest", F.unhex(F.sha2("payload", 256)))
@@ -203,23 +263,23 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             out = []
             for x in salvage(data):
                 if isinstance(x, Gap):
-                    out.append((where, x.start, None, None, None, None, None, x.end, x.reason))
+                    out.append((where, x.start, None, None, None, None, None, x.end, x.reason, x.inner_start, x.inner_end))
                     continue
                 kind = x.headers.get("warc-type")
                 http = dict(line.partition(":")[::2] for line in x.block.partition(END)[0].decode("utf-8", "replace").lower().split("\r\n")[1:])
                 size = int(http.get("content-length", "0")) if kind == "revisit" else len(x.payload)
                 digest = x.headers.get("warc-payload-digest", "").removeprefix("sha1:") if kind == "revisit" else sha1_base32(x.payload)
-                out.append((where, x.start, _id(x.headers.get("warc-record-id")), size, digest, kind, _id(x.headers.get("warc-refers-to")), None, None))
+                out.append((where, x.start, _id(x.headers.get("warc-record-id")), size, digest, kind, _id(x.headers.get("warc-refers-to")), None, None, None, None))
             if out:
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     return files.mapInArrow(run, RECORDS)
 
 
 def quarantine(records: DataFrame) -> DataFrame:
-    """The log of gaps: path, start, end, reason."""
-    return records.where("reason IS NOT NULL").select("path", "start", F.col("gap_end").alias("end"), "reason")
+    """The log of gaps: path, start, end, reason, and for gaps inside a member their places in its decompressed bytes."""
+    return records.where("reason IS NOT NULL").select("path", "start", F.col("gap_end").alias("end"), "reason", "inner_start", "inner_end")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
