@@ -172,3 +172,17 @@ def test_http_host_after_many_packets(spark):
         packets = packets.unionByName(http_packets(spark, c, n))
     rows = {r.session_id: (r.method, r.host, r.path) for r in flows.http_streams(packets, flows.streams(packets)).collect()}
     assert rows == {1: ("GET", "far.example", "/far"), 2: ("GET", "late", "/far"), 3: ("GET", "", "/"), 4: ("GET", "cut", "/end"), 5: ("GET", "far.example", "/far")}
+
+
+def test_the_stream_queries_have_no_cap(spark, monkeypatch):
+    from wirelake.plans import queries as Q
+
+    n = 1100
+    ip = F.lit(bytearray(b"\0" * 16))
+    streams = spark.range(n).select(F.lit(1).cast("long").alias("session_id"), F.col("id").cast("string").alias("stream_id"), F.lit("http").alias("l7_proto"), ip.alias("src_ip"), ip.alias("dst_ip"), F.lit(1).alias("src_port"), F.lit(80).alias("dst_port"), F.lit(True).alias("is_complete"), F.col("id").alias("first_packet_id"), F.col("id").alias("last_packet_id"), F.lit(3).alias("packet_count"), F.lit(9).alias("byte_count"))
+    http = streams.select("session_id", "stream_id", F.lit("GET").alias("method"), F.lit("h").alias("host"), F.lit("/").alias("path"))
+    packets = streams.select("session_id", F.col("first_packet_id").alias("packet_id"), F.lit(5).cast("long").alias("ts"))
+    store = Store(spark, {"stream_captures": streams, "stream_http": http, "packets": packets})
+    monkeypatch.setattr(Q, "_stream_store", lambda spark, d: store)
+    assert Q.QUERIES["streams_http"](spark, "").count() == Q.QUERIES["streams_time_filter"](spark, "").count() == n
+    assert flows.list_streams(store, limit=1000).count() == 1000

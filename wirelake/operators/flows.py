@@ -213,14 +213,18 @@ def _timed(store: Store, rows: DataFrame, start: int | None, end: int | None) ->
     return rows.join(p.drop("ts"), ["session_id", "first_packet_id"], "left_semi")
 
 
-def list_streams(store: Store, sessions: tuple[int, ...] = (), l7: str | None = None, start: int | None = None, end: int | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
-    """Streams with their HTTP request, newest first within a session."""
+def all_streams(store: Store, sessions: tuple[int, ...] = (), l7: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Streams with their HTTP request, without order or limit."""
     rows = _timed(store, store.table("stream_captures").where(_condition(sessions, l7)), start, end)
     http = store.table("stream_http")
     out = rows.join(http, ["session_id", "stream_id"], "left")
     ip = lambda c: A.strip_mapped(A.ip6_text(F.col(c))).alias(c)
-    out = out.select("session_id", "stream_id", "l7_proto", ip("src_ip"), ip("dst_ip"), "src_port", "dst_port", "is_complete", "first_packet_id", "last_packet_id", "packet_count", "byte_count", *[F.coalesce(c, F.lit("")).alias(c) for c in ("method", "host", "path")])
-    return out.orderBy(F.asc("session_id"), F.desc("first_packet_id")).offset(offset).limit(clamp_streams(limit))
+    return out.select("session_id", "stream_id", "l7_proto", ip("src_ip"), ip("dst_ip"), "src_port", "dst_port", "is_complete", "first_packet_id", "last_packet_id", "packet_count", "byte_count", *[F.coalesce(c, F.lit("")).alias(c) for c in ("method", "host", "path")])
+
+
+def list_streams(store: Store, sessions: tuple[int, ...] = (), l7: str | None = None, start: int | None = None, end: int | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """A page of streams with their HTTP request, newest first within a session."""
+    return all_streams(store, sessions, l7, start, end).orderBy(F.asc("session_id"), F.desc("first_packet_id")).offset(offset).limit(clamp_streams(limit))
 
 
 def count_streams(store: Store, sessions: tuple[int, ...] = (), l7: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:

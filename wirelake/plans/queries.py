@@ -295,13 +295,13 @@ def streams_count(spark, d):
 
 @query(_STREAMS + f", p AS (SELECT event_id AS packet_id, epoch_ns(ts) AS ts FROM events) SELECT a.session_id, a.l7_proto, a.first_packet_id, a.packet_count FROM a JOIN p ON p.packet_id = a.first_packet_id WHERE synack > syn AND l7_proto IS NOT NULL AND ts >= 0 AND ts < {T0}", views=False)
 def streams_time_filter(spark, d):
-    out = flows.list_streams(_stream_store(spark, d), start=0, end=T0, limit=1000)
+    out = flows.all_streams(_stream_store(spark, d), start=0, end=T0)
     return out.select("session_id", "l7_proto", "first_packet_id", "packet_count")
 
 
 @query(_STREAMS + " SELECT a.session_id, 'GET' AS method, 'h.example' AS host, '/' || g.props[1:1] AS path FROM a JOIN g ON g.session_id = a.session_id AND g.packet_id = a.first_packet_id WHERE synack > syn AND l7_proto = 'http'", views=False)
 def streams_http(spark, d):
-    out = flows.list_streams(_stream_store(spark, d), l7="http", limit=1000)
+    out = flows.all_streams(_stream_store(spark, d), l7="http")
     return out.select("session_id", "method", "host", F.substring("path", 1, 2).alias("path"))
 
 
