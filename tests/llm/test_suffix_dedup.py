@@ -80,9 +80,9 @@ def test_owners_depend_on_windows_only(monkeypatch):
     rnd = random.Random(6)
     monkeypatch.setattr(S, "PIECE", 700)
     text = bytes(rnd.choice(b"abc") for _ in range(3000))
-    q, h, l, r = S.owners(text)
+    q, h, l, r, _ = S.owners(text)
     assert l[0] == 0 and r[-1] == len(text) - 100 and (l[1:] == r[:-1] + 1).all() and ((q >= r) & (q - l <= 76)).all()
     part = text[700:1500]
-    q2, h2, l2, _ = S.owners(part)
+    q2, h2, l2, _, _ = S.owners(part)
     inside = {(int(a) - 700, int(b)) for a, b in zip(q, h.view(np.int64))}
     assert all((int(a), int(b)) in inside for a, b in zip(q2, h2.view(np.int64)))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import crc_mod, drop_stash, free_shuffles, slices, stash, table, text_bytes
+from .common import crc_mod, drop_stash, slices, stash, table, text_bytes
 
 STATES, TOP, ENDINGS, ROUNDS, BLOCK_TOKENS, SEED_CLASSES = 8, 1536, 1024, 2, 3_000_000, 256
 CLASSES = TOP + ENDINGS + 1
@@ -308,8 +308,6 @@ def prepare(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tupl
     sequences = stash(sequences, "hmm-sequences")
     drop_stash(blocks)
     drop_stash(counted)
-    del classed, by_block, types, words
-    free_shuffles(spark)
     return sequences, lex
 
 

@@ -1,21 +1,22 @@
-"""Removal of repeated strings by distributed prefix doubling.
-
-Wanted: every byte under a ``LENGTH``-byte string that also starts earlier (smaller id, or same document and earlier start). Dense ranks of all
-suffixes would cost a shuffle of the corpus times twenty for each doubling, so this works on names and on a sample:
-
-* Names: tasks name the strings of 1, 2, 4, 8, 16 and 24 bytes at every position by doubling, each from the pair of names at
-  half the offset; names up to 8 bytes are exact ranks, longer ones are 64-bit hashes of the pair.
-* Sample: each window of ``LENGTH`` bytes is owned by the position of its least 24-byte name (leftmost of equals). The choice depends on the
-  window's bytes alone, so equal windows have owners with equal names at equal places. An owner has a run of consecutive windows.
-* Rounds, each over (name of a shorter string, name of a longer one, document, run): Spark groups the shorter names and drops
-  the unique ones. Runs whose longer names are equal repeat as a whole, all but the first of them. Where one shorter name has
-  several longer ones, the first run of each goes into the next round, cut into finer runs whose shorter names reach further:
-  24 bytes against the whole run's bytes, then ``LENGTH - FINE + 1`` against ``LENGTH + FINE - 1`` bytes, then
-  ``LENGTH`` bytes exactly, past which nothing is left to tell apart.
-
-Equality rests on 128 bits (shorter and longer name) throughout. Equal runs of one task meet before the shuffle, so copies and
-passages in a third of the documents send a row from each task; shuffles of hot names are partial aggregates, or joins whose skewed
-partitions AQE splits. Texts are dealt by id once, into a bucketed table that later rounds and the last pass read.
+"""Removal of repeated strings by distributed prefix doubling over sampled positions.
+
+Wanted: every byte under a ``LENGTH``-byte string that also starts earlier (smaller id, or same document and earlier start). Rank pairs of all
+positions would be some 35 times the table on disk for each doubling, so the ranked positions are a sample that equal strings share:
+
+* Sample: each window of ``LENGTH`` bytes is owned by the position of its least ``PREFIX``-byte name (leftmost of equals). The choice depends
+  on the window's bytes alone, so equal windows have owners at equal places. An owner has a run of consecutive windows.
+* Doubling: Spark sorts the positions by their names of 24 bytes and reranks them: equal names get one dense rank, and positions that
+  are alone are dropped. Runs whose whole texts are equal too repeat as wholes, all but the first. The first ones are sorted by the pair
+  (rank, name of the next 24 bytes), which ranks 48 bytes, then by (rank, name of the next 48), which ranks 96. A position that is alone
+  at a length can share no window that reaches further to its right: only its windows with a shorter reach go on.
+* Past the threshold: runs that are left are cut into pieces of ``FINE`` windows, sorted by the pair (bytes that all windows of a piece share,
+  bytes that any covers); pieces that differ only in the second go on window by window, ranked by the overlapping pair of names of 64 bytes
+  at offsets 0 and ``LENGTH - 64``, after which nothing is left to tell apart.
+
+Every sort orders by (rank, name, document, place) over range partitions, so the first of a class is its earliest place, and a class of any
+size lies over as many partitions as it needs; ranks are joined up over the partitions' borders from one row for each partition. Equality rests
+on 128 bits throughout. Equal rows of one task meet before the shuffle, so copies and passages in a third of the documents send a row from
+each task. Each round's shuffle files go when its table is written, and each table when the next one is.
 
 Edge cases: null and empty texts have no strings and keep the digest of no bytes; texts are bytes, a cut may fall inside a character; rows
 that repeat both id and text count as one document and each get its row; rows with equal ids and different texts, and null ids (before all
@@ -24,9 +25,9 @@ others), are ordered by their texts' hashes; an empty table gives an empty resul
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import uuid
+import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,14 @@ from pyspark.sql import Window
 
 from .common import drop_stash, slices, stash, table, text_bytes
 
-LENGTH, PREFIX, FINE = 100, 24, 8
+LENGTH, PREFIX, FINE, OVERLAP = 100, 24, 8, 64
 PIECE, CHUNK = 1 << 20, 400_000
+#: Rows of a sort's partition and bytes of text of a join's partition, beyond which there are more partitions than the session's number.
+SORT_ROWS, JOIN_BYTES = 4_000_000, 256_000_000
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
-ROWS = "dup boolean, key long, name long, doc long, run long"
+OWNERS = ("key", "mid", "name", "doc", "run")
+PIECES = ("key", "name", "doc", "run", "of")
+WINDOWS = ("key", "name", "doc", "run")
 
 
 def _mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -60,7 +65,11 @@ def names(a: np.ndarray) -> np.ndarray:
 
 
 def owners(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(position, its name, first window, last window) of every owner, in order. Long texts go by pieces that share no window."""
+    """(position, its name, first window, last window, names of the next bytes) of every owner, in order.
+
+    The last column holds 32 bits of the name of the next 24 bytes, then 32 bits of that of the 48 bytes after them; zero where no window
+    of the run reaches so far. Long texts go by pieces that share no window.
+    """
     span, out = length - PREFIX + 1, []
     for lo in range(0, max(1, len(text) - length + 1), PIECE):
         a = np.frombuffer(text, np.uint8)[lo : lo + PIECE + length - 1]
@@ -78,10 +87,13 @@ def owners(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
         first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
         last = np.append(first[1:], len(q)) - 1
         q = q[first]
-        out.append((q + lo, h[q], first + lo, last + lo))
+        end, top = last + length - q, len(h) - 1
+        second = np.where(end >= 2 * PREFIX, h[np.minimum(q + PREFIX, top)], 0)
+        third = np.where(end >= 4 * PREFIX, _mix(h[np.minimum(q + 2 * PREFIX, top)], h[np.minimum(q + 3 * PREFIX, top)]), 0)
+        out.append((q + lo, h[q], first + lo, last + lo, (second >> np.uint64(32)) << np.uint64(32) | third >> np.uint64(32)))
     if not out:
         z = np.zeros(0, np.int64)
-        return z, z.astype(np.uint64), z, z
+        return z, z.astype(np.uint64), z, z, z.astype(np.uint64)
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -90,38 +102,39 @@ def _pack(first, inside, n):
     return first << 14 | inside << 7 | n
 
 
-def _first_round(text: bytes):
-    """Owners' 24-byte names against the names of all bytes that their windows cover."""
-    q, h, l, r = owners(text)
+def _own(doc: int, text: bytes):
+    """Owners' names, and the names of all bytes that their windows cover."""
+    q, h, l, r, mid = owners(text)
     digest = xxhash.xxh3_64_intdigest
     whole = [digest(text[a : b + LENGTH], c) for a, b, c in zip(l.tolist(), r.tolist(), (q - l).tolist(), strict=True)]
-    return h.view(np.int64), np.array(whole, np.uint64).view(np.int64), _pack(l, q - l, r - l + 1)
+    return h.view(np.int64), mid.view(np.int64), np.array(whole, np.uint64).view(np.int64), np.full(len(q), doc, np.int64), _pack(l, q - l, r - l + 1)
 
 
-def _finer(text: bytes, runs: list[int]):
-    """Runs cut at multiples of FINE windows before the owner: the bytes that all windows of a piece share against those that any covers."""
+def _cut(doc: int, run: int, b: bytes):
+    """The run's pieces, cut at multiples of FINE windows before the owner: the bytes that all windows of a piece share against those that any covers. b: the bytes from the run's first window."""
     key, name, out = [], [], []
     digest = xxhash.xxh3_64_intdigest
-    for run in runs:
-        l, inside, n = run >> 14, run >> 7 & 127, run & 127
-        q, at = l + inside, l
-        while at < l + n:
-            g = (q - at) // FINE
-            end = min(l + n - 1, q - g * FINE)  # last window of the piece
-            near = q - g * FINE  # a whole piece would end here, and all its windows hold the bytes from here
-            key.append(digest(text[near : near - FINE + 1 + LENGTH], g))
-            name.append(digest(text[at : end + LENGTH], q - at))
-            out.append(_pack(at, 0, end - at + 1))
-            at = end + 1
-    return np.array(key, np.uint64).view(np.int64), np.array(name, np.uint64).view(np.int64), np.array(out, np.int64)
-
-
-def _exact(text: bytes, runs: list[int]):
-    """Each window by itself."""
-    at = [p for run in runs for p in range(run >> 14, (run >> 14) + (run & 127))]
-    cut = [text[p : p + LENGTH] for p in at]
-    key, name = (np.array([xxhash.xxh3_64_intdigest(c, s) for c in cut], np.uint64).view(np.int64) for s in (2, 3))
-    return key, name, _pack(np.array(at, np.int64), 0, 1)
+    l, inside, n = run >> 14, run >> 7 & 127, run & 127
+    at = 0
+    while at < n:
+        g = (inside - at) // FINE
+        end = min(n - 1, inside - g * FINE)  # last window of the piece
+        near = inside - g * FINE  # a whole piece would end here, and all its windows hold the bytes from here
+        key.append(digest(b[near : near - FINE + 1 + LENGTH], g))
+        name.append(digest(b[at : end + LENGTH], inside - at))
+        out.append(_pack(l + at, 0, end - at + 1))
+        at = end + 1
+    k = len(out)
+    return np.array(key, np.uint64).view(np.int64), np.array(name, np.uint64).view(np.int64), np.full(k, doc, np.int64), np.array(out, np.int64), np.full(k, run, np.int64)
+
+
+def _single(doc: int, run: int, of: int, b: bytes):
+    """Each window of a piece by itself, as the overlapping pair of names of OVERLAP bytes."""
+    lo, n, digest = (run >> 14) - (of >> 14), run & 127, xxhash.xxh3_64_intdigest
+    cut = [b[p : p + LENGTH] for p in range(lo, lo + n)]
+    key = np.array([digest(c[:OVERLAP], 2) for c in cut], np.uint64)
+    name = np.array([digest(c[-OVERLAP:], 3) for c in cut], np.uint64)
+    return key.view(np.int64), name.view(np.int64), np.full(n, doc, np.int64), _pack((run >> 14) + np.arange(n, dtype=np.int64), 0, 1)
 
 
 def _merged(doc: np.ndarray, run: np.ndarray):
@@ -137,67 +150,201 @@ def _merged(doc: np.ndarray, run: np.ndarray):
     return s[at], np.maximum.reduceat(e, at) if len(at) else e, doc[at]
 
 
-def _combined(parts: list[tuple]):
-    """One chunk's rows: the first run of each pair of names, and the spans of all others, which repeat it."""
-    doc, key, name, run = (np.concatenate(c) for c in zip(*parts, strict=True))
-    order = np.lexsort((run, doc, name, key))
-    doc, key, name, run = doc[order], key[order], name[order], run[order]
-    first = np.concatenate(([True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])))
-    s, e, d = _merged(doc[~first], run[~first]) if not first.all() else (np.zeros(0, np.int64),) * 3
-    back = np.lexsort((run[first], doc[first]))  # in the order of documents the last two columns take little room
-    doc_, key_, name_, run_ = (c[first][back] for c in (doc, key, name, run))
-    n = len(back)
-    cols = [np.concatenate((np.zeros(n, bool), np.ones(len(s), bool))), np.concatenate((key_, s)), np.concatenate((name_, e)), np.concatenate((doc_, d)), np.concatenate((run_, np.zeros(len(s), np.int64)))]
-    return pa.record_batch([pa.array(c) for c in cols], names=["dup", "key", "name", "doc", "run"])
+def _combined(names_: tuple[str, ...], parts: list[tuple]):
+    """One chunk's rows: the first run of each pair of key and name, and the spans of all others, which repeat it."""
+    c = dict(zip(names_, (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True))
+    order = np.lexsort((c["run"], c["doc"], c["name"], c["key"]))
+    c = {k: v[order] for k, v in c.items()}
+    first = np.concatenate(([True], (c["key"][1:] != c["key"][:-1]) | (c["name"][1:] != c["name"][:-1])))
+    s, e, d = _merged(c["doc"][~first], c["run"][~first]) if not first.all() else (np.zeros(0, np.int64),) * 3
+    back = np.lexsort((c["run"][first], c["doc"][first]))  # in the order of documents the last columns take little room
+    spans = {"key": s, "name": e, "doc": d}
+    cols = [np.concatenate((v[first][back], spans.get(k, np.zeros(len(s), np.int64)))) for k, v in c.items()]
+    dup = np.concatenate((np.zeros(len(back), bool), np.ones(len(s), bool)))
+    return pa.record_batch([pa.array(dup), *map(pa.array, cols)], names=["dup", *names_])
 
 
-def _rounds(make, with_runs: bool):
+def _made(make, names_: tuple[str, ...]):
+    """Over rows of make's arguments: rows of names_, and the spans (doc, key, name) that repeat earlier bytes of the same chunk."""
+
     def run(batches):
         parts, n = [], 0
         for b in slices(batches):
-            for i, row in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True)):
-                key, name, out = make(row[1], row[2]) if with_runs else make(row[1])
-                if len(key):
-                    parts.append((np.full(len(key), row[0], np.int64), key, name, out))
-                    n += len(key)
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                cols = make(*row)
+                if len(cols[0]):
+                    parts.append(cols)
+                    n += len(cols[0])
                 if n >= CHUNK:
-                    yield _combined(parts)
+                    yield _combined(names_, parts)
                     parts, n = [], 0
         if parts:
-            yield _combined(parts)
+            yield _combined(names_, parts)
 
     return run
 
 
-def _resolve(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Byte spans (doc, s, e) that repeat, and the runs (doc, run) that need the next round."""
-    runs = rows.where("not dup").select("key", "name", "doc", "run")
-    often = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    again = stash(runs.join(often.hint("merge"), "key", "left_semi"), "suffix-again", "zstd")
-    first = stash(again.groupBy("key", "name").agg(F.min(F.struct("doc", "run")).alias("f")), "suffix-first", "zstd")
-    spans = again.join(first.hint("merge"), ["key", "name"]).where("doc != f.doc or run != f.run").select("doc", F.shiftright("run", 14).alias("s"), (F.shiftright("run", 14) + F.col("run").bitwiseAND(127) - 1 + LENGTH).alias("e"))
-    spans = rows.where("dup").select("doc", F.col("key").alias("s"), F.col("name").alias("e")).unionByName(spans)
-    several = first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    more = first.join(several.hint("merge"), "key", "left_semi").select("f.doc", "f.run")
-    spans, more = stash(spans, "suffix-spans"), stash(more, "suffix-more")
-    for t in (rows, again, first):
-        drop_stash(t)
-    _free(rows.sparkSession)
-    return spans, more
+def _schema(cols) -> str:
+    return ", ".join(f"{c} long" for c in cols)
+
+
+def _rerank(cols: tuple[str, ...], by: int, least: int):
+    """Over rows in order of their first by columns, then place: the partition's number, the row's class in it, and how it shares.
+
+    depth: how many of the first by columns the row has in common with a neighbour (a partition's first and last row: all of them, for what
+    lies beyond is unknown here); rows of less than least are dropped. head: the first row of its class here; second: a head whose first
+    column stood before it under another class.
+    """
+    out = [*cols, "pid", "cls", "depth", "head", "second"]
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        pid, classes, before, held = TaskContext.get().partitionId(), 0, None, None
+
+        def annotated(x: np.ndarray, after):
+            """x: rows, whose neighbours are before (None: the border) and after."""
+            nonlocal classes, before
+            same = np.zeros(len(x) + 1, np.int64)  # with the row before it; the last: of the row after
+            alike = np.ones(max(0, len(x) - 1), bool)
+            for k in range(by):
+                alike &= x[1:, k] == x[:-1, k]
+                same[1:-1] += alike
+            for place, other, own in ((0, before, x[0]), (len(x), after, x[-1])):
+                same[place] = by if other is None else int(np.cumprod(other[:by] == own[:by]).sum())
+            head = same[:-1] < by
+            if before is None:
+                head[0] = True
+            cls = classes + np.cumsum(head) - 1
+            second = head & (same[:-1] >= 1)
+            depth = np.maximum(same[:-1], same[1:])
+            classes, before = int(cls[-1]) + 1, x[-1]
+            keep = depth >= least
+            flags = [pa.array(v[keep]) for v in (np.full(len(x), pid, np.int32), cls, depth.astype(np.int32), head, second)]
+            return pa.record_batch([*(pa.array(x[keep, k]) for k in range(len(cols))), *flags], names=out)
+
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1) if b.num_rows else None
+            if x is None:
+                continue
+            if held is not None:
+                yield annotated(held, x[0])
+            held = x
+        if held is not None:
+            yield annotated(held, None)
+
+    return run
+
+
+def _parts(spark: SparkSession, n: int, most: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / most))
+
 
+def _sorted(rows: DataFrame, by: tuple[str, ...], least: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """rows (of written tables) sorted by (by, doc, run) and reranked: with ranked (dense ranks of the classes), and depth, head and second as in _rerank; and the written table behind it."""
+    spark, order = rows.sparkSession, [*by, "doc", "run"]
+    cols = (*by, *(c for c in rows.columns if c not in by))
+    dealt = rows.select(*cols).repartitionByRange(_parts(spark, rows.count(), SORT_ROWS), *order).sortWithinPartitions(*order)
+    out = stash(dealt.mapInArrow(_rerank(cols, len(by), least), _schema(cols) + ", pid int, cls long, depth int, head boolean, second boolean"), name, "zstd")
+    # one row for each partition; its first and last rows are always there
+    ends = out.groupBy("pid").agg(F.min(F.struct(*by)), F.max(F.struct(*by)), F.max("cls")).collect()
+    base, at, before = [], 0, None
+    for pid, first, last, top in sorted(ends):
+        goes_on = before == first
+        at -= goes_on
+        base.append((pid, at, goes_on))
+        at, before = at + top + 1, last
+    base = F.broadcast(spark.createDataFrame(base or [(0, 0, False)], "pid int, base long, goes_on boolean"))
+    onward = F.col("goes_on") & (F.col("cls") == 0)
+    ranked = out.join(base, "pid").select(*cols, (F.col("base") + F.col("cls")).alias("ranked"), "depth", (F.col("head") & ~onward).alias("head"), (F.col("second") & ~onward).alias("second"))
+    return ranked, out
 
-def _free(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
+def _span(run: str = "run") -> list:
+    return [F.shiftright(run, 14).alias("s"), (F.shiftright(run, 14) + F.col(run).bitwiseAND(127) - 1 + LENGTH).alias("e")]
 
-def _numbered(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame | None]:
-    """(doc, t): every document once under a number in the order of ids; and (doc, id, n) if ids repeat or are null, else None and the ids themselves."""
+
+def _dups(rows: DataFrame) -> DataFrame:
+    return rows.where("dup").select("doc", F.col("key").alias("s"), F.col("name").alias("e"))
+
+
+def _live(rows: DataFrame) -> DataFrame:
+    return rows.where("not dup").drop("dup")
+
+
+def _far(runs: DataFrame, low: int) -> DataFrame:
+    """The runs' windows that start at least low bytes before the owner."""
+    n = F.least(F.col("run").bitwiseAND(127), F.shiftright("run", 7).bitwiseAND(127) - low + 1)
+    return runs.where(n > 0).select("doc", (F.shiftleft(F.shiftright("run", 7), 7) + n).alias("run"))
+
+
+def _joined(texts: DataFrame, runs: DataFrame, size: int, how: str) -> DataFrame:
+    """texts with their lists of runs; doc numbers are unique on both sides."""
+    n = _parts(texts.sparkSession, size, JOIN_BYTES)
+    return texts.repartition(n, "doc").join(runs.repartition(n, "doc").hint("merge"), "doc", how)
+
+
+def _bytes_of(batches):
+    for b in slices(batches):
+        out = [(doc, run, text[run >> 14 : (run >> 14) + (run & 127) - 1 + LENGTH]) for doc, text, runs in zip(*(c.to_pylist() for c in b.columns), strict=True) for run in runs]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc", "run", "b"])
+
+
+def repeats(texts: DataFrame, size: int) -> DataFrame:
+    """Byte spans (doc, s, e) that repeat earlier ones, over texts (doc, t) of size bytes."""
+    spans = []
+
+    def found(df: DataFrame) -> None:
+        spans.append(stash(df, "suffix-spans", "zstd"))
+
+    rows = stash(texts.mapInArrow(_made(_own, OWNERS), "dup boolean, " + _schema(OWNERS)), "suffix-owners", "zstd")
+    found(_dups(rows))
+    # 24 bytes: positions that are alone are dropped
+    r24, t24 = _sorted(_live(rows), ("key",), 1, "suffix-24")
+    drop_stash(rows)
+    # whole runs: all but the first repeat
+    whole, t_whole = _sorted(r24.select(F.col("ranked").alias("rank"), "mid", "name", "doc", "run"), ("rank", "name"), 0, "suffix-whole")
+    drop_stash(t24)
+    found(whole.where("not head").select("doc", *_span()))
+    # 48 bytes, then 96, of the first ones
+    heads = whole.where("head").select("rank", F.shiftright("mid", 32).alias("next"), F.col("mid").bitwiseAND(0xFFFFFFFF).alias("after"), "doc", "run")
+    r48, t48 = _sorted(heads, ("rank", "next"), 1, "suffix-48")
+    drop_stash(t_whole)
+    r96, t96 = _sorted(r48.where("depth = 2").select(F.col("ranked").alias("rank"), "after", "doc", "run"), ("rank", "after"), 0, "suffix-96")
+    left = _far(r48.where("depth = 1"), LENGTH - 2 * PREFIX + 1).unionByName(_far(r96.where("depth < 2"), LENGTH - 4 * PREFIX + 1))
+    left = stash(left.unionByName(r96.where("depth = 2").select("doc", "run")), "suffix-left", "zstd")
+    drop_stash(t48)
+    drop_stash(t96)
+    each = left.groupBy("doc").agg(F.collect_list("run").alias("runs"))  # at most a number for each window of a document
+    runs = stash(_joined(texts, each, size, "inner").select("doc", "t", "runs").mapInArrow(_bytes_of, "doc long, run long, b binary"), "suffix-runs", "zstd")
+    drop_stash(left)
+    # pieces, then single windows
+    rows = stash(runs.mapInArrow(_made(_cut, PIECES), "dup boolean, " + _schema(PIECES)), "suffix-pieces", "zstd")
+    found(_dups(rows))
+    pieces, t_pieces = _sorted(_live(rows), ("key", "name"), 1, "suffix-pieces")
+    drop_stash(rows)
+    found(pieces.where("not head").select("doc", *_span()))
+    several = pieces.where("second").select("key").distinct()
+    more = stash(pieces.where("head").join(several.hint("merge"), "key", "left_semi").select("doc", "run", "of"), "suffix-more", "zstd")
+    drop_stash(t_pieces)
+    cut = more.hint("merge").join(runs.withColumnRenamed("run", "of"), ["doc", "of"]).select("doc", "run", "of", "b")
+    rows = stash(cut.mapInArrow(_made(_single, WINDOWS), "dup boolean, " + _schema(WINDOWS)), "suffix-windows", "zstd")
+    drop_stash(runs)
+    drop_stash(more)
+    found(_dups(rows))
+    windows, t_windows = _sorted(_live(rows), ("key", "name"), 2, "suffix-windows")
+    drop_stash(rows)
+    found(windows.where("not head").select("doc", *_span()))
+    drop_stash(t_windows)
+    return reduce(DataFrame.unionByName, spans)
+
+
+def _numbered(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame | None, int]:
+    """(doc, t): every document once under a number in the order of ids; (doc, id, n) if ids repeat or are null, else None and the ids themselves; and the bytes of all texts."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text).alias("t"))
-    n, kinds = plain.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
+    n, kinds, size = plain.agg(F.count(F.lit(1)), F.count_distinct("id"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
     if n == kinds:
-        return plain.withColumnRenamed("id", "doc"), None
+        return plain.withColumnRenamed("id", "doc"), None, size
     keyed = plain.withColumn("th", F.xxhash64("t"))
     each = keyed.groupBy("id", "th").agg(F.count(F.lit(1)).alias("n"))
     dealt = stash(each.repartitionByRange(F.col("id").asc_nulls_first(), "th").withColumn("pid", F.spark_partition_id()), "suffix-ids")
@@ -211,7 +358,7 @@ def _numbered(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataF
     ids = stash(dealt.withColumn("r", F.row_number().over(order)).join(F.broadcast(offset), "pid").select("id", "th", "n", (F.col("at") + F.col("r")).alias("doc")), "suffix-numbers")
     same = keyed["id"].eqNullSafe(ids["id"]) & (keyed["th"] == ids["th"])
     numbered = keyed.join(ids, same).select("doc", "t").groupBy("doc").agg(F.first("t").alias("t"))
-    return numbered, ids.select("doc", "id", "n")
+    return stash(numbered, "suffix-texts", "zstd"), ids.select("doc", "id", "n"), size
 
 
 def _last(batches):
@@ -238,24 +385,9 @@ def _last(batches):
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    spark = docs.sparkSession
-    numbered, ids = _numbered(docs, id_col, text)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    name = f"wirelake_suffix_{uuid.uuid4().hex}"
-    numbered.repartition(parts, "doc").write.option("compression", "zstd").bucketBy(parts, "doc").saveAsTable(name, format="parquet")
-    texts = spark.table(name)
-    rows = stash(texts.select("doc", "t").mapInArrow(_rounds(_first_round, False), ROWS), "suffix-owners", "zstd")
-    spans = []
-    for make in (_finer, _exact):
-        found, more = _resolve(rows)
-        spans.append(found)
-        each = more.groupBy("doc").agg(F.collect_list("run").alias("runs"))  # at most a number for each window of a document
-        rows = stash(texts.join(each.hint("merge"), "doc").select("doc", "t", "runs").mapInArrow(_rounds(make, True), ROWS), "suffix-rows", "zstd")
-        drop_stash(more)
-    spans.append(_resolve(rows)[0])
-    union = spans[0].unionByName(spans[1]).unionByName(spans[2])
-    each = union.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    out = texts.join(each.hint("merge"), "doc", "left").select("doc", "t", "spans").mapInArrow(_last, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    texts, ids, size = _numbered(docs, id_col, text)
+    each = repeats(texts, size).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    out = _joined(texts, each, size, "left").select("doc", "t", "spans").mapInArrow(_last, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     if ids is None:
         return out.withColumnRenamed("doc", id_col)
     rest = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
