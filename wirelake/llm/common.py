@@ -67,6 +67,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_name(taken: list[str], name: str) -> str:
+    """A column name that is none of those taken."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def text_bytes(col: str = "text"):
     """The UTF-8 bytes of a text column; null counts as the empty text."""
     return F.coalesce(F.col(col), F.lit("")).cast("binary")

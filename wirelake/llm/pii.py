@@ -3,17 +3,18 @@
 Kinds of the base: email, ip (parts at most 255), card (13 to 19 digits that pass Luhn), phone (9 to 15
 digits). The method adds iban spans (ISO 13616 form, confirmed by mod 97). All positions are code points, ends exclusive.
 
-The patterns here are written so that a scan is linear and never recurses deeply: a match may only start where a run of
+The patterns here are written so that a scan is linear and never recurses: a match may only start where a run of
 its characters starts or the last match ended (every later start in the run would need the same
-continuation), and digit runs of a card are matched only when they are whole and of a length that can pass. The
+continuation), repeated groups are possessive, and digit runs of a card are matched only when they are whole and of a length that can pass. The
 strings between matches and the matches themselves give the positions, so each text is scanned twice for a
-kind, and only if a cheap test finds its characters.
+kind, and only if a cheap test finds its characters. Positions are running sums by chunks, and parts of a text are
+taken from its blocks of ``2 ** BLOCK`` code points, so that a text with very many spans costs time in proportion to its length.
 
 Score of a span: the kind's own confidence, raised by ``NEAR`` when one of the kind's context words stands within
 ``REACH`` code points before or after it. Base spans stay whatever their score; added spans need ``LEAST``.
 
 Edge cases: null and empty texts have no spans; repeated rows and null ids are each answered; an empty table gives an empty
-result; extra columns are ignored.
+result; extra columns are ignored by find() and kept by redact(), whatever their names.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh_name, table
 
 LOCAL = "A-Za-z0-9._%+-"
 LABEL = "A-Za-z0-9-"
 #: kind: (what a text must contain, pattern, confidence, context words)
 KINDS = {
-    "email": ("@", rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[{LABEL}]++(?:\.[{LABEL}]++)+", 0.9, "e-?mail|mail|contact|write|courriel|correo"),
+    "email": ("@", rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[{LABEL}]++(?:\.[{LABEL}]++)++", 0.9, "e-?mail|mail|contact|write|courriel|correo"),
     "ip": (r"[0-9]\.[0-9]", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, r"\bip\b|address|host|server|login|adresse"),
     "card": (r"[0-9][ -]?[0-9]", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])", 0.8, "card|visa|master|credit|debit|carte|karte|tarjeta"),
     "phone": (r"\+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]", 0.5, "phone|tel|call|mobile|fax|anruf|llam"),
@@ -35,23 +36,64 @@ KINDS = {
 }
 BASE = ("email", "ip", "card", "phone")
 NEAR, REACH, LEAST = 0.2, 40, 0.5
-SPAN = "array<struct<s:int,e:int,m:string>>"
+#: Logarithms of the rows of a chunk of running values and of the code points of a block of text.
+CHUNK, BLOCK = 8, 10
+SPANS = "array<struct<s:int,e:int,kind:string,score:double>>"
 
 
-def _found(text: str, pattern: str) -> Column:
-    """All matches with their positions, from the strings between them and the matches."""
-    t, p = F.col(text), F.lit(pattern)
-    match, between = F.regexp_extract_all(t, p, F.lit(0)), F.split(t, pattern, -1)
-    both = F.arrays_zip(match.alias("m"), between.alias("b"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _fold(values: Column, op) -> Column:
+    """Running values of a short array, by copying what was there."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
 
     def add(acc, x):
-        s = acc["at"] + F.char_length(x["b"])
-        e = s + F.char_length(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
+        return _let(op(acc["at"], x), lambda v: F.struct(v.alias("at"), F.concat(acc["out"], F.array(v)).alias("out")))
+
+    return F.aggregate(values, start, add, lambda acc: acc["out"])
+
+
+def _running(values: Column, op, levels: int = 1) -> Column:
+    """op over all values up to each one of an array that isn't empty; values are at least 0, op has 0 as its neutral element."""
+    if levels == 0:
+        return _fold(values, op)
+
+    def from_parts(parts):
+        totals = F.transform(parts, lambda p: F.element_at(p, -1))
+        return _let(_running(totals, op, levels - 1), lambda upto: F.flatten(F.transform(parts, lambda p, c: _let(F.when(c == 0, 0).otherwise(F.get(upto, c - 1)), lambda base: F.transform(p, lambda v: op(base, v))))))
+
+    def from_values(v):
+        chunks = F.sequence(F.lit(0), F.shiftright(F.size(v) - 1, CHUNK))
+        return _let(F.transform(chunks, lambda c: _fold(F.slice(v, F.shiftleft(c, CHUNK) + 1, 1 << CHUNK), op)), from_parts)
+
+    return _let(values, from_values)
+
+
+def _found(t: Column, pattern: str) -> Column:
+    """All matches (s, e, m) with their positions, from the strings between them and the matches."""
+    both = F.struct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("m"), F.split(t, pattern, -1).alias("b"))
+
+    def placed(x):
+        steps = F.transform(x["m"], lambda m, i: F.char_length(F.get(x["b"], i)) + F.char_length(m))
+        ends = F.arrays_zip(x["m"].alias("m"), _running(steps, lambda p, q: p + q).alias("e"))
+        out = F.transform(ends, lambda y: F.struct((y["e"] - F.char_length(y["m"])).alias("s"), y["e"].alias("e"), y["m"].alias("m")))
+        return F.when(F.size(x["m"]) > 0, out)
+
+    return F.coalesce(_let(both, placed), F.array().cast("array<struct<s:int,e:int,m:string>>"))
+
 
-    # the last string between has no match after it
-    return F.aggregate(F.filter(both, lambda x: x["m"].isNotNull()), start, add, lambda acc: acc["out"])
+def _blocks(t: Column) -> Column:
+    return F.regexp_extract_all(t, F.lit(f"(?s).{{1,{1 << BLOCK}}}"), F.lit(0))
+
+
+def _part(blocks: Column, lo: Column, hi: Column) -> Column:
+    """The text's code points from lo up to hi; hi is not below lo."""
+    first = F.shiftright(lo, BLOCK)
+    few = F.array_join(F.slice(blocks, first + 1, F.shiftright(hi - 1, BLOCK) - first + 1), "")
+    return F.substring(few, lo - F.shiftleft(first, BLOCK) + 1, hi - lo)
 
 
 def _digits(m: Column) -> Column:
@@ -93,60 +135,77 @@ def _test(kind: str):
     return lambda x: _valid(kind, x["m"])
 
 
-def _scored(kind: str, sure: float, words: str):
+def _scored(kind: str, sure: float, words: str, blocks: Column):
     def scored(x):
-        before = F.substring(F.col("_text"), F.greatest(x["s"] - REACH + 1, F.lit(1)), F.least(x["s"], F.lit(REACH)))
-        around = F.lower(F.concat(before, F.lit("\n"), F.substring(F.col("_text"), x["e"] + 1, F.lit(REACH))))
+        around = F.lower(F.concat(_part(blocks, F.greatest(x["s"] - REACH, F.lit(0)), x["s"]), F.lit("\n"), _part(blocks, x["e"], x["e"] + REACH)))
         score = F.lit(sure) + F.when(around.rlike(words), NEAR).otherwise(0.0)
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.lit(kind).alias("kind"), score.cast("double").alias("score"))
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("kind"), score.cast("double").alias("score"))
 
     return scored
 
 
-def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the column _spans: for each kind an array of (s, e, m, kind, score), in the order of KINDS, then start."""
-    out = docs.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    for kind, (needs, pattern, sure, words) in KINDS.items():
-        test = F.contains(F.col("_text"), F.lit(needs)) if needs == "@" else F.col("_text").rlike(needs)
-        out = out.withColumn(f"_{kind}", F.when(test, _found("_text", pattern)).otherwise(F.array().cast(SPAN)))
+def _spans(t: Column, kind: str) -> Column:
+    """The spans (s, e, kind, score) of a kind in a text, in order."""
+    needs, pattern, sure, words = KINDS[kind]
+
+    def judged(good):
+        scored = _let(_blocks(t), lambda blocks: F.transform(good, _scored(kind, sure, words, blocks)))
+        return F.when(F.size(good) > 0, scored if kind in BASE else F.filter(scored, lambda x: x["score"] >= LEAST))
 
-        good = F.transform(F.filter(F.col(f"_{kind}"), _test(kind)), _scored(kind, sure, words))
-        out = out.withColumn(f"_{kind}", good if kind in BASE else F.filter(good, lambda x: x["score"] >= LEAST))
-    return out
+    test = F.contains(t, F.lit(needs)) if needs == "@" else t.rlike(needs)
+    found = F.when(test, _let(F.filter(_found(t, pattern), _test(kind)), judged))
+    return F.coalesce(found, F.array()).cast(SPANS)
 
 
-def _joined(parts: list[str], score: bool = False) -> Column:
+def _text(col: str) -> Column:
+    return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+def _joined(spans: Column, score: bool = False) -> Column:
     def one(x):
         cells = [x["kind"], x["s"].cast("string"), x["e"].cast("string")]
         return F.concat_ws(":", *cells, *([F.format_number(x["score"], 2)] if score else []))
 
-    return F.concat_ws(",", F.transform(F.concat(*[F.col(f"_{k}") for k in parts]), one))
+    return F.concat_ws(",", F.transform(spans, one))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    found = with_spans(docs.select(id_col, text), text)
+    """id, the number of spans of each base kind, the digest of the base spans, all spans, and all with their scores."""
+    cols = {k: fresh_name([id_col, text], k) for k in KINDS}
+    found = docs.select(id_col, *[_spans(_text(text), k).alias(c) for k, c in cols.items()])
+    base, all_ = (F.concat(*[F.col(cols[k]) for k in kinds]) for kinds in (BASE, KINDS))
     return found.select(
         id_col,
-        *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE],
-        F.sha2(_joined(list(BASE)).cast("binary"), 256).alias("base_sha256"),
-        _joined(list(KINDS)).alias("spans"),
-        _joined(list(KINDS), score=True).alias("scores"),
+        *[F.size(cols[k]).cast("long").alias(f"n_{k}") for k in BASE],
+        F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"),
+        _joined(all_).alias("spans"),
+        _joined(all_, score=True).alias("scores"),
     )
 
 
+def redacted(t: Column) -> Column:
+    """The text with every span replaced by its kind in angle brackets; overlapping spans give one replacement, by the one that starts first."""
+
+    def cut(x):
+        reach = _running(F.transform(x["spans"], lambda y: y["e"]), F.greatest)  # the end of all spans so far
+
+        def pieces(reach):
+            before = lambda i: F.when(i == 0, 0).otherwise(F.get(reach, i - 1))
+            each = F.transform(x["spans"], lambda y, i: F.when(y["s"] >= before(i), F.concat(_part(x["blocks"], before(i), y["s"]), F.lit("<"), F.upper(y["kind"]), F.lit(">"))).otherwise(""))
+            return F.concat(F.array_join(each, ""), _part(x["blocks"], F.element_at(reach, -1), F.greatest(F.char_length(t), F.element_at(reach, -1))))
+
+        return _let(reach, pieces)
+
+    def replaced(spans):
+        return F.when(F.size(spans) > 0, _let(F.struct(spans.alias("spans"), _blocks(t).alias("blocks")), cut)).otherwise(t)
+
+    return _let(F.array_sort(F.concat(*[_spans(t, k) for k in KINDS])), replaced)
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with every span replaced by its kind in angle brackets; overlapping spans give one replacement, by the one that starts first. A null text stays null."""
-    spans = F.array_sort(F.concat(*[F.col(f"_{k}") for k in KINDS]))
-    found = with_spans(docs, text).withColumn("_all", spans)
-
-    def step(acc, x):
-        apart = x["s"] >= acc["at"]
-        more = F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(apart, more).otherwise(acc["out"]).alias("out"))
-
-    new = F.aggregate(F.col("_all"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(F.col("_text"), acc["at"] + 1)))
-    kept = [F.when(F.size("_all") > 0, new).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns]
-    return found.select(*kept)
+    """docs with redacted texts. A null text stays null."""
+    new = F.when(F.col(text).isNotNull(), redacted(_text(text)))
+    return docs.withColumn(text, new)
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
