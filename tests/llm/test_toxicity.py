@@ -1,7 +1,9 @@
+import math
 import random
 import zlib
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tests.llm.texts import ODD, frame, words
@@ -65,5 +67,39 @@ def test_segments_ignore_copies():
     ordinary = [words(rnd, 60, 5000).encode() for _ in range(200)]
     copied = words(rnd, 60, 5000).encode()
     toxic = [copied] * 50 + [f"{words(rnd, 30, 5000)} horrid {words(rnd, 30, 5000)}".encode() for _ in range(50)]
-    found = T.toxic_segments(toxic, ordinary)
+    found = T.toxic_content(toxic, ordinary)
     assert b"horrid" in found and copied[100:120] not in found
+
+
+def scored(model, text):
+    """The score by its definition, one window at a time."""
+    t, gains = " " + "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text) + " ", []
+    b, at = t.encode(), 0
+    while text and (at == 0 or at + T.WINDOW - T.STRIDE < len(b)):
+        length = []
+        for content in (bytes(len(model.toxic)) + model.ordinary, model.toxic + model.ordinary):
+            how = zstandard.ZstdCompressionParameters.from_level(1, strategy=zstandard.STRATEGY_LAZY2, min_match=T.DMER, target_length=0, write_checksum=False, write_content_size=False, write_dict_id=False)
+            kind = zstandard.ZstdCompressionDict(content + T.ANCHOR, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            length.append(len(zstandard.ZstdCompressor(compression_params=how, dict_data=kind).compress(T.ANCHOR + b[at : at + T.WINDOW] + T.TAIL)))
+        gains.append(length[0] - length[1])
+        at += T.STRIDE
+    z = model.bias + model.weights[0] * max([0, *gains]) + model.weights[1] * math.log1p(sum(max(0, g - 1) for g in gains))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_by_the_definition(spark, corpus):
+    model = T.train(frame(spark, [(i, t) for i, t, _ in corpus]), spark.createDataFrame([(i, y) for i, _, y in corpus], "doc_id long, toxic int"))
+    texts = [t for _, t, _ in corpus[:60]] + [t or "" for t in ODD]
+    rows = {r.doc_id: r.score for r in T.score(frame(spark, texts), model).collect()}
+    assert all(abs(rows[i] - scored(model, t)) < 1e-9 for i, t in enumerate(texts))
+
+
+def test_long_and_repeated_training_texts(spark, corpus):
+    """A long text is learned from in slices that reach its end; rows that repeat an id count once."""
+    long = "z" * 60_000
+    assert [len(r[0]) for r in frame(spark, [long, "short"]).select(T._bounded(T.text_bytes())).collect()] == [T.LONGEST, 5]
+    marked = long[:-4] + "END!"
+    assert bytes(frame(spark, [marked]).select(T._bounded(T.text_bytes())).first()[0]).endswith(b"END!")
+    labels = spark.createDataFrame([(i, y) for i, _, y in corpus], "doc_id long, toxic int")
+    docs = frame(spark, [(i, t) for i, t, _ in corpus])
+    assert T.train(docs.unionByName(docs), labels) == T.train(docs, labels)

@@ -1,19 +1,20 @@
 """Toxicity by compression distance.
 
-Training takes a bounded sample of labelled documents (``SAMPLE`` of each class at most, of texts up to
-``LONGEST`` bytes; held-out documents never) and splits it in halves. From the first half two zstandard
-dictionaries are trained. The ordinary one is a COVER dictionary of ordinary text. The toxic one holds
-the same content, which both classes share, and before it segments of toxic texts whose d-mers
-(runs of ``DMER`` bytes) occur in a far larger share of toxic than of ordinary texts, the most frequent
-nearest. Occurrences count once for each
-different surrounding, so copies of a text don't make its words look frequent.
+Training takes a bounded sample of labelled documents (``SAMPLE`` of each class at most; held-out documents never) and splits it in halves. A
+text of more than ``LONGEST`` bytes gives that many, in ``SLICES`` evenly spread slices. From the first half two zstandard
+dictionaries are trained, one for each class: the ordinary one on the windows of ordinary texts, the toxic one on
+the stretches of toxic texts whose d-mers (runs of ``DMER`` bytes) occur in a far larger share of toxic than of ordinary texts,
+each with zeros around it, so that no match runs on into its neighbour. (Trained on whole toxic texts it would hold the prose that both
+classes share, whose chance matches drown the signal.) Occurrences count once for each
+different surrounding, so copies of a text don't make its words look frequent. Windows are compressed with the ordinary dictionary behind
+zeros, or behind the toxic one: both have the same size and the ordinary part at the same distance, so that lengths differ by toxic matches alone.
 
 Scoring cuts the whole text into windows of ``WINDOW`` bytes that overlap by ``WINDOW - STRIDE``, compresses each
-with either dictionary and takes the gain (bytes saved by the toxic one). The largest
+with and without the toxic dictionary and takes the gain (bytes saved by it). The largest
 gain and the sum of gains go through a logistic curve, calibrated on the second half of the sample.
 
 Only the text is an input of a score. Edge cases: a null or empty text has no window and gets the curve's value
-at no gain; rows without id are scored; repeated rows are each scored; labels with other values than 0 and 1
+at no gain; rows without id are scored; repeated rows are each scored, and an id is learned from once; labels with other values than 0 and 1
 or without a document are ignored; where the labels lack a class every score is the share of toxic rows among the usable ones
 (0 if there are none); an empty table gives an empty result; extra columns are ignored.
 """
@@ -26,14 +27,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, slices, table, text_bytes
 
-SAMPLE, LONGEST, DMER, WINDOW, STRIDE = 2500, 20_000, 5, 56, 36
-SHARED_BYTES, TOXIC_BYTES, RATIO, LEAST, CORE, AROUND, THRESHOLD = 512, 8192, 60.0, 4, 0.4, 6, 0.3
-LEAST_SHARE, LONGEST_RUN = 0.008, 20
+SAMPLE, LONGEST, SLICES, DMER, WINDOW, STRIDE = 2500, 20_000, 20, 5, 56, 36
+SHARED_BYTES, TOXIC_BYTES, RATIO, LEAST, CORE, AROUND, THRESHOLD = 512, 4096, 60.0, 4, 0.4, 6, 0.3
+LEAST_SHARE, PAD = 0.008, bytes(5)
 #: Around each window: a first match for every window, so that none is stored uncompressed, and bytes after the last place where zstandard looks for a match.
 ANCHOR, TAIL = b"\x01\x02\x03before every window\x04\x05\x06", b"\x07\x08\x0e\x0f\x10\x11\x12\x13\x14\x15"
 FOLDS, HELD = 4, 2
@@ -78,16 +79,15 @@ def _contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(pairs[:, 0], return_counts=True)
 
 
-def toxic_segments(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
-    """Runs of d-mers that mark toxic texts, the most frequent last."""
+def toxic_stretches(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """The stretches of d-mers that mark toxic texts, one for each occurrence."""
     kt, nt = _contexts(toxic)
     kt, nt = kt[nt >= LEAST], nt[nt >= LEAST]
     seen, docs = (sum((np.isin(kt, _dmers(t)) for t in texts), np.zeros(len(kt))) for texts in (ordinary, toxic))
     nt = np.minimum(nt, docs)
     least = max(LEAST, LEAST_SHARE * len(toxic))
-    marks = kt[(nt >= least) & (nt / len(toxic) >= RATIO * (seen + 0.5) / max(1, len(ordinary)))]
-    often = nt[(nt >= least) & (nt / len(toxic) >= RATIO * (seen + 0.5) / max(1, len(ordinary)))]
-    runs: Counter = Counter()
+    use = (nt >= least) & (nt / len(toxic) >= RATIO * (seen + 0.5) / max(1, len(ordinary)))
+    marks, often, out = kt[use], nt[use], []
     for t in (b" " + t + b" " for t in toxic):
         m = _dmers(t)
         hit = np.flatnonzero(np.isin(m, marks))
@@ -96,24 +96,32 @@ def toxic_segments(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
                 # the core: without the d-mers that only reach into a neighbouring word
                 n = often[np.searchsorted(marks, m[run])]
                 core = run[n >= CORE * n.max()]
-                runs[t[core[0] : core[-1] + DMER]] += 1
-    out, size = [], 0
-    for run, n in runs.most_common():
-        if n < LEAST or len(run) > LONGEST_RUN or size + len(run) > TOXIC_BYTES:
-            continue
-        out.append(run)
-        size += len(run)
-    # no match spans two segments; a length that keeps the shared part's place in the hash table's grid
-    joined = b"\x00".join([b"", *reversed(out), b""])
-    return joined + b"\x00" * (-len(joined) % 12)
+                out.append(t[core[0] : core[-1] + DMER])
+    return out
 
 
-def ordinary_content(texts: list[bytes]) -> bytes:
-    windows = [t[i : i + 512] for t in texts for i in range(0, len(t), 512)]
+def _trained(samples: list[bytes], size: int, k: int, d: int) -> bytes | None:
+    """The content of a COVER dictionary; None if there is too little text for one."""
     try:
-        return zstandard.train_dictionary(SHARED_BYTES, windows, d=8, k=64).as_bytes()
-    except zstandard.ZstdError:  # too little text for COVER
-        return b"".join(texts)[:SHARED_BYTES]
+        return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
+    except zstandard.ZstdError:
+        return None
+
+
+def toxic_content(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
+    samples = [PAD + x + PAD for x in toxic_stretches(toxic, ordinary)]
+    content = _trained(samples, TOXIC_BYTES, 16, 6)
+    if content is None:
+        content = b"".join(x for x, _ in reversed(Counter(samples).most_common()))[-TOXIC_BYTES:]
+    else:
+        content = content[max(0, content.find(PAD)) :]  # without the tables before the content
+    # a length that keeps the ordinary part's place in the hash table's grid
+    return content + bytes(-len(content) % 12)
+
+
+def ordinary_content(texts: list[bytes]) -> bytes:
+    content = _trained([t[i : i + 512] for t in texts for i in range(0, len(t), 512)], SHARED_BYTES, 64, 8)
+    return b"".join(texts)[:SHARED_BYTES] if content is None else content
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -125,7 +133,7 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.pair = model, (_compressor(model.ordinary), _compressor(model.toxic))
+        self.model, self.pair = model, (_compressor(bytes(len(model.toxic)) + model.ordinary), _compressor(model.toxic + model.ordinary))
 
     def features(self, texts: list[bytes]) -> np.ndarray:
         """Per text: the largest gain, and the sum of gains over one byte, damped."""
@@ -168,8 +176,7 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
         return Model(b"", b"", float(np.clip(np.log(max(share, 1e-13) / max(1 - share, 1e-13)), -30, 30)), (0.0, 0.0))
     first = [x[::2] for x in both]
     second = [x[1::2] or x for x in both]
-    shared = ordinary_content(first[0])
-    model = Model(shared, toxic_segments(first[1], first[0]) + shared, 0.0, (0.0, 0.0))
+    model = Model(ordinary_content(first[0]), toxic_content(first[1], first[0]), 0.0, (0.0, 0.0))
     x = Scorer(model).features(second[0] + second[1])
     y = np.array([0] * len(second[0]) + [1] * len(second[1]))
     model.bias, model.weights = _logistic(x, y)
@@ -183,12 +190,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     for y in (0, 1):
         part = usable.where(F.col("y") == y).select("id", "y", order.alias("o")).orderBy("o", "id").limit(SAMPLE)
         sample = part if sample is None else sample.unionByName(part)
-    texts = docs.select(F.col(id_col).alias("id"), text_bytes(text).alias("t")).where(F.octet_length("t") <= LONGEST)
-    # the sample's size is bounded by 2 * SAMPLE, so it may be broadcast
-    rows = texts.join(F.broadcast(sample), "id").select("o", "id", "t", "y").collect()
+    texts = docs.select(F.col(id_col).alias("id"), _bounded(text_bytes(text)).alias("t"))
+    # the sample's size is bounded by 2 * SAMPLE, so it may be broadcast; one text of each id, of bounded size
+    rows = texts.join(F.broadcast(sample), "id").groupBy("o", "id", "y").agg(F.min("t").alias("t")).collect()
     return fit([(bytes(r.t), r.y) for r in sorted(rows, key=lambda r: (r.o, r.id, r.y))])
 
 
+def _bounded(t: Column) -> Column:
+    """The bytes of a text, or slices of a long one that are spread over all of it."""
+    size, piece = F.octet_length(t), LONGEST // SLICES
+    spread = F.concat(*[F.substring(t, F.floor((size - piece) * i / (SLICES - 1)).cast("int") + 1, F.lit(piece)) for i in range(SLICES)])
+    return F.when(size <= LONGEST, t).otherwise(spread)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id and score of every row."""
     share = docs.sparkSession.sparkContext.broadcast(model)  # at most SHARED_BYTES + TOXIC_BYTES and a bit
