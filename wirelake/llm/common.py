@@ -21,8 +21,10 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set only where the setting is absent (local tests)."""
+    """The folder of spark.checkpoint.dir; only in a local session (tests) may the setting be absent, which then gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="wirelake-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -75,6 +77,14 @@ def fresh_name(taken: list[str], name: str) -> str:
     return name
 
 
+def fresh_prefix(taken: list[str]) -> str:
+    """A start of column names that none of those taken has."""
+    prefix = "_"
+    while any(t.startswith(prefix) for t in taken):
+        prefix += "_"
+    return prefix
+
+
 def text_bytes(col: str = "text"):
     """The UTF-8 bytes of a text column; null counts as the empty text."""
     return F.coalesce(F.col(col), F.lit("")).cast("binary")

@@ -6,15 +6,15 @@ j - 1 blocks and due when it reaches j. Earliest deadline first over the release
 slot. The rates sum to one at any time, so every block meets its deadline, and after any number of slots every source is less than
 one block from its fluid share; when a source ends, the others share its rate in proportion.
 
-The number of blocks is bounded: a block has at least ``BLOCK`` rows, and as many more as keep the blocks
-of all sources at about ``MOST_BLOCKS`` (plus one for each source). So the schedule is a small table made on the driver from
-one count for each source, whatever the corpus. Rows get their place in their source without a
+A block is one ``SLOTS``-th of the rows at every size of the corpus (one row at least), so a source is never off its share by that part of
+the corpus, and the schedule is a table of about ``SLOTS`` rows (plus one for each source), made on the driver from
+one count for each source. Rows get their place in their source without a
 window over the source: counts of hash buckets give offsets, and only the rows of one bucket are
 ordered together.
 
 Edge cases: every row comes out once, nothing is dropped or repeated; a null source is a source of its own; sources without
 a weight get the mean of the given ones; weights of zero or less are taken as the smallest positive share (1e-6); ties and repeated rows
-take neighbouring places in any order; an empty table gives an empty result; existing columns named like the new ones are replaced.
+take neighbouring places in any order; an empty table gives an empty result; existing columns named mix_slot and mix_position are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import table
+from .common import fresh_prefix, table
 
-BLOCK, MOST_BLOCKS, BUCKET_ROWS, BUCKET_GROUP = 64, 100_000, 256, 1024
+SLOTS, BUCKET_ROWS, BUCKET_GROUP = 20_000, 256, 1024
 
 
 def fluid(weights: list[float], blocks: list[int]) -> list[tuple[list[float], list[float]]]:
@@ -78,16 +78,17 @@ def schedule(weights: list[float], blocks: list[int]) -> list[int]:
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", block: int = BLOCK) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", slots: int = SLOTS) -> DataFrame:
     """docs with mix_slot (the block's place) and mix_position (the row's place, from 0, without gaps)."""
     spark = docs.sparkSession
     weights = weights or {}
     docs = docs.drop("mix_slot", "mix_position")
+    o = fresh_prefix(docs.columns)
     key = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
-    rows = docs.withColumn("_source", key).withColumn("_hash", _row_hash(docs))
-    counts = dict(rows.groupBy("_source").count().collect())  # one row for each source
+    rows = docs.withColumn(f"{o}source", key).withColumn(f"{o}hash", _row_hash(docs))
+    counts = dict(rows.groupBy(f"{o}source").count().collect())  # one row for each source
     names, total = sorted(counts), sum(counts.values())
-    size = max(block, math.ceil(total / MOST_BLOCKS))
+    size = max(1, math.ceil(total / slots))
     mean = sum(weights.values()) / len(weights) if weights else 1.0
     share = [max(1e-6, weights.get(None if n == "null" else n[1:], mean)) for n in names]
     blocks = [math.ceil(counts[n] / size) for n in names]
@@ -96,27 +97,27 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, source:
         place.append((names[i], seen[i], slot, at))
         at += min(size, counts[names[i]] - seen[i] * size)
         seen[i] += 1
-    slots = spark.createDataFrame(place, T.StructType([T.StructField("_source", T.StringType()), T.StructField("_block", T.LongType()), T.StructField("mix_slot", T.LongType()), T.StructField("_start", T.LongType())]))
+    places = spark.createDataFrame(place, T.StructType([T.StructField(f"{o}source", T.StringType()), T.StructField(f"{o}block", T.LongType()), T.StructField("mix_slot", T.LongType()), T.StructField(f"{o}start", T.LongType())]))
 
     # offsets of hash buckets within each source
     buckets = max(1, math.ceil(total / BUCKET_ROWS))
-    rows = rows.withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
-    filled = rows.groupBy("_source", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.withColumn(f"{o}bucket", F.pmod(f"{o}hash", F.lit(buckets)))
+    filled = rows.groupBy(f"{o}source", f"{o}bucket").agg(F.count(F.lit(1)).alias(f"{o}n"))
     # sums before a bucket in two steps, so that no window holds all buckets of a source
-    filled = filled.withColumn("_group", F.floor(F.col("_bucket") / BUCKET_GROUP))
-    groups = filled.groupBy("_source", "_group").agg(F.sum("_n").alias("_m"))
+    filled = filled.withColumn(f"{o}group", F.floor(F.col(f"{o}bucket") / BUCKET_GROUP))
+    groups = filled.groupBy(f"{o}source", f"{o}group").agg(F.sum(f"{o}n").alias(f"{o}m"))
     earlier = lambda by, at: Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select("_source", "_group", F.coalesce(F.sum("_m").over(earlier(["_source"], "_group")), F.lit(0)).alias("_base"))
-    inner = F.coalesce(F.sum("_n").over(earlier(["_source", "_group"], "_bucket")), F.lit(0))
-    offsets = filled.select("_source", "_group", "_bucket", inner.alias("_inner")).join(groups, ["_source", "_group"])
-    offsets = offsets.select("_source", "_bucket", (F.col("_base") + F.col("_inner")).alias("_before"))
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_hash")
-    ranked = rows.withColumn("_rank", F.row_number().over(inside) - 1)
-    ranked = ranked.join(offsets, ["_source", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    ranked = ranked.withColumn("_block", F.floor(F.col("_rank") / size).cast("long"))
-    # at most MOST_BLOCKS rows and one for each source
-    mixed = ranked.join(F.broadcast(slots), ["_source", "_block"])
-    return mixed.withColumn("mix_position", F.col("_start") + F.col("_rank") - F.col("_block") * size).select(*docs.columns, "mix_slot", "mix_position")
+    groups = groups.select(f"{o}source", f"{o}group", F.coalesce(F.sum(f"{o}m").over(earlier([f"{o}source"], f"{o}group")), F.lit(0)).alias(f"{o}base"))
+    inner = F.coalesce(F.sum(f"{o}n").over(earlier([f"{o}source", f"{o}group"], f"{o}bucket")), F.lit(0))
+    offsets = filled.select(f"{o}source", f"{o}group", f"{o}bucket", inner.alias(f"{o}inner")).join(groups, [f"{o}source", f"{o}group"])
+    offsets = offsets.select(f"{o}source", f"{o}bucket", (F.col(f"{o}base") + F.col(f"{o}inner")).alias(f"{o}before"))
+    inside = Window.partitionBy(f"{o}source", f"{o}bucket").orderBy(f"{o}hash")
+    ranked = rows.withColumn(f"{o}rank", F.row_number().over(inside) - 1)
+    ranked = ranked.join(offsets, [f"{o}source", f"{o}bucket"]).withColumn(f"{o}rank", F.col(f"{o}rank") + F.col(f"{o}before"))
+    ranked = ranked.withColumn(f"{o}block", F.floor(F.col(f"{o}rank") / size).cast("long"))
+    # about SLOTS rows and one for each source
+    mixed = ranked.join(F.broadcast(places), [f"{o}source", f"{o}block"])
+    return mixed.withColumn("mix_position", F.col(f"{o}start") + F.col(f"{o}rank") - F.col(f"{o}block") * size).select(*docs.columns, "mix_slot", "mix_position")
 
 
 def _row_hash(docs: DataFrame) -> Column:
