@@ -45,5 +45,34 @@ def test_documents_and_cache(spark, tokenizer, tmp_path):
     assert spark.read.parquet(cache).select("tokenizer").distinct().count() == 2
 
 
+def test_a_digest_that_was_appended_twice_answers_once(spark, tmp_path):
+    cache = str(tmp_path / "cache")
+    docs = frame(spark, ["one text", "two texts", "one text"])
+    C.count_tokens(docs, cache).collect()
+    spark.read.parquet(cache).write.mode("append").parquet(str(tmp_path / "twice"))
+    spark.read.parquet(cache).write.mode("append").parquet(str(tmp_path / "twice"))
+    rows = C.count_tokens(docs, str(tmp_path / "twice")).collect()
+    assert sorted(r.doc_id for r in rows) == [0, 1, 2]
+
+
+def test_other_tokenizers_count_whole_texts():
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(3)
+    texts = [words(rnd, 30) for _ in range(20)] + [t for t in ODD if t]
+    for name in sorted(f for f in os.listdir(os.path.dirname(public_tokenizers.path(C.TOKENIZER))) if f.endswith((".json", ".model"))):
+        path = public_tokenizers.path(name)
+        if name.endswith(".model"):
+            want = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)]
+        else:
+            tok = Tokenizer.from_file(path)
+            tok.no_truncation()
+            tok.no_padding()
+            want = [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+        assert C.PieceCounter(path).count(texts) == want, name
+
+
 def test_empty(spark):
     assert C.count_tokens(frame(spark, [])).collect() == []

@@ -3,12 +3,13 @@
 Every text is normalised (null becomes the empty text; no other change, because a byte-level
 tokenizer counts every byte) and digested with SHA-256. The cache is a Parquet table of
 (content digest, tokenizer digest, n_bytes, n_tokens). A run joins its distinct digests to the
-cache, encodes only the distinct misses and appends them; then each document looks its digest up.
+cache, encodes only the distinct misses and appends them; then each document looks its digest up. Digests meet the cache before any text
+moves. Runs at the same time may append the same digest twice, so reading takes one row of each.
 
-Inside a task, texts are cut before each run of blanks that follows a non-blank. No
+With a byte-level tokenizer that has no normaliser, inside a task, texts are cut before each run of blanks that follows a non-blank. No
 pre-token of the byte-level pattern spans such a cut, so the count of a text is the sum over its
 pieces, and repeated pieces are encoded once. Texts with other kinds of white space, control
-characters or a special string go to the library whole.
+characters or a special string go to the library whole, as do all texts of other tokenizers (.json or .model).
 
 Edge cases: null text counts as empty (0 bytes, 0 tokens); repeated rows and repeated ids are each
 answered; an empty table gives an empty result; other columns are ignored.
@@ -17,13 +18,14 @@ answered; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, slices, table, text_bytes
+from .common import fresh_path, slices, stash, table, text_bytes
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
@@ -42,29 +44,43 @@ def tokenizer_path(name: str) -> str:
 
 def tokenizer_digest(path: str) -> str:
     """Names the exact version of a tokenizer: the file's SHA-256 and the library's version."""
+    import sentencepiece
     import tokenizers
 
     with open(path, "rb") as f:
-        return f"{hashlib.sha256(f.read()).hexdigest()}:{tokenizers.__version__}"
+        return f"{hashlib.sha256(f.read()).hexdigest()}:{(sentencepiece if path.endswith('.model') else tokenizers).__version__}"
 
 
 class PieceCounter:
-    """Counts tokens of texts; equal to len(tokenizer.encode(text, add_special_tokens=False))."""
+    """Counts tokens of texts as the library gives them, without begin, end or added special tokens."""
 
     def __init__(self, path: str):
+        self.known: dict[str, int] = {}
+        self.pieces = False
+        if path.endswith(".model"):
+            import sentencepiece
+
+            self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+            return
         from tokenizers import Tokenizer
 
+        self.model = None
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, int] = {}
+        with open(path, encoding="utf-8") as f:
+            how = json.load(f)
+        before = how.get("pre_tokenizer") or {}
+        self.pieces = not how.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
 
     def _encode(self, texts: list[str]) -> list[int]:
+        if self.model is not None:
+            return [len(x) for x in self.model.encode(texts)]
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def whole(self, text: str) -> bool:
-        return bool(ODD.search(text)) or any(s in text for s in self.special)
+        return not self.pieces or bool(ODD.search(text)) or any(s in text for s in self.special)
 
     def count(self, texts: list[str]) -> list[int]:
         out = [0] * len(texts)
@@ -116,9 +132,11 @@ def extend_cache(docs: DataFrame, cache: str, tokenizer: str = TOKENIZER, text:
     version = tokenizer_digest(path)
     known = _rows(spark, cache, version)
     texts = docs.select(digest(text_bytes(text)).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    misses = texts.groupBy("digest").agg(F.first("text").alias("text"))
     if known is not None:
-        misses = misses.join(known.select("digest"), "digest", "left_anti")
+        new = stash(texts.select("digest").distinct().join(known.select("digest"), "digest", "left_anti"), "token-misses")
+        # few misses are broadcast by their table's size, and then no text of a hit moves
+        texts = texts.join(new, "digest", "left_semi")
+    misses = texts.groupBy("digest").agg(F.first("text").alias("text"))
     misses.mapInArrow(_encoder(path, version), CACHE_SCHEMA).write.mode("append").parquet(cache)
     return _rows(spark, cache, version)
 
@@ -128,7 +146,7 @@ def _rows(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
     path = jvm.org.apache.hadoop.fs.Path(cache)
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return None
-    return spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version)
+    return spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version).dropDuplicates(["digest"])
 
 
 def count_tokens(docs: DataFrame, cache: str | None = None, tokenizer: str = TOKENIZER, limit: int = LIMIT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
