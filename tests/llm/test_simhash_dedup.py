@@ -109,3 +109,37 @@ def test_keep_one(spark):
 def test_null_ids(spark):
     rows = S.near_duplicates(frame(spark, [(None, "a"), (None, "a"), (2, "a"), (None, "b")])).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in rows) == [("2", "2"), ("None", "2"), ("None", "2"), ("None", "None")]
+
+
+def test_keep_one_with_repeated_ids_and_clashing_columns(spark):
+    rnd = random.Random(8)
+    texts = [words(rnd, 40) for _ in range(4)]
+    own = {"top": 1, "component_id": 2, "fp": 3, "_fp": 4, "_top": 5}
+    docs = frame(spark, [(1, texts[0]), (1, texts[0]), (2, texts[0]), (3, texts[1]), (1, texts[2]), (None, texts[3]), (None, None)], **own)
+    rows = S.keep_one(docs).collect()
+    assert all(r[k] == v for r in rows for k, v in own.items())
+    assert sorted((str(r.doc_id), r.text or "") for r in rows) == sorted([("1", texts[0]), ("3", texts[1]), ("1", texts[2]), ("None", texts[3]), ("None", "")])
+
+
+def test_dense_keys_lose_no_link(spark):
+    rnd = random.Random(9)
+    seeds = [rnd.getrandbits(64) for _ in range(6)]
+    fps = {x ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 4))) for x in seeds for _ in range(60)}
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
+    want = {}
+    for a in signed:
+        want.setdefault(a, a)
+    parent = {a: a for a in signed}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(signed):
+        for b in signed[:i]:
+            if bin((a ^ b) & (2**64 - 1)).count("1") <= 4:
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    found = {r.u: r.v for r in S.components(S.links(nodes)).collect()}
+    assert all(found.get(a, a) == root(a) for a in signed)

@@ -6,9 +6,9 @@ are the nodes, so exact copies cost nothing further.
 
 Candidates: six blocks of bits; two fingerprints with at most four differing bits agree in at least
 two blocks, so each of the 15 pairs of blocks is a key and no link is lost. The distances of each
-fingerprint to 16 reference fingerprints are computed once, and travel with it. Within a key a breadth-first
-search discards a pair when some coordinate of the two distance tables differs by more than the
-threshold (the triangle inequality), verifies the survivors by their exact Hamming distance,
+fingerprint to 16 reference fingerprints are computed once, and travel with it. Within a key, in the order of the first coordinate, a
+breadth-first search looks only at fingerprints whose first coordinate is within the threshold, discards a pair when some other coordinate
+of the two distance tables differs by more (the triangle inequality), verifies the survivors by their exact Hamming distance,
 and emits only a spanning forest - never all pairs of a group. A key with more
 fingerprints than ``HEAVY`` is not gathered: its rows are dealt again by finer keys over the bits that
 are still free, until no key is heavy (distinct fingerprints that agree in all but 13 bits
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_stash, slices, stash, table, text_bytes
+from .common import drop_stash, fresh_prefix, slices, stash, table, text_bytes
 
 WORDS, SEED, BITS, PIVOTS, BLOCKS, HEAVY = 4, 42, 4, 16, 6, 50_000
 
@@ -100,20 +100,25 @@ def _differ(a: np.ndarray, b) -> np.ndarray:
 
 def _forest(fp: np.ndarray, dist: np.ndarray, bits: int) -> tuple[list, list]:
     """Edges of a spanning forest over the links of one key's fingerprints."""
-    rest, roots, found = np.arange(len(fp)), [], []
-    while len(rest) > 1:
-        root, rest = rest[0], rest[1:]
-        queue = [root]
-        while queue and len(rest):
+    order = np.argsort(dist[:, 0], kind="stable")
+    fp, dist = fp[order], dist[order]
+    first, free = dist[:, 0], np.ones(len(fp), bool)
+    lo, hi = np.searchsorted(first, first - bits, "left"), np.searchsorted(first, first + bits, "right")
+    roots, found = [], []
+    for root in range(len(fp)):
+        if not free[root]:
+            continue
+        free[root], queue = False, [root]
+        while queue:
             x = queue.pop()
-            maybe = np.flatnonzero(np.abs(dist[rest] - dist[x]).max(1) <= bits)
-            hit = maybe[_differ(fp[rest[maybe]], fp[x]) <= bits]
-            if len(hit):
-                near = rest[hit]
+            rest = lo[x] + np.flatnonzero(free[lo[x] : hi[x]])
+            maybe = rest[np.abs(dist[rest] - dist[x]).max(1, initial=0) <= bits]
+            near = maybe[_differ(fp[maybe], fp[x]) <= bits]
+            if len(near):
                 roots.extend([fp[root]] * len(near))
                 found.extend(fp[near])
-                queue.extend(near)
-                rest = np.delete(rest, hit)
+                queue.extend(near.tolist())
+                free[near] = False
     return roots, found
 
 
@@ -199,14 +204,12 @@ def links(nodes: DataFrame, bits: int = BITS, heavy: int = HEAVY) -> DataFrame:
 
 def _finer(rows: DataFrame) -> DataFrame:
     """Heavy keys' rows under finer keys: the masks of a cover of the bits that each key's mask leaves free."""
-    parts = []
+    masks = []
     for (used,) in rows.select("used").distinct().collect():  # at most 15 masks to a power of the depth
         free = [b for b in range(64) if not used >> b & 1]
-        parts += [rows.where(F.col("used") == used).select(F.xxhash64("key", F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias("key"), "fp", F.lit(_signed((used & (2**64 - 1)) | m)).alias("used")) for i, m in enumerate(_cover(free))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        masks += [(used, i, _signed(m), _signed((used & (2**64 - 1)) | m)) for i, m in enumerate(_cover(free))]
+    covers = F.broadcast(rows.sparkSession.createDataFrame(masks, "used long, i int, mask long, all long"))
+    return rows.join(covers, "used").select(F.xxhash64("key", "i", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp", F.col("all").alias("used"))
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -256,14 +259,15 @@ def keep_one(docs: DataFrame, bits: int = BITS, heavy: int = HEAVY, id_col: str
     n, kinds = prints.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
     if n == kinds:
         return docs.join(label.select(F.col("component_id").alias(id_col)).distinct().hint("merge"), id_col, "left_semi").select(docs.columns)
-    place = docs.columns.index(text)
+    place, own = docs.columns.index(text), fresh_prefix(docs.columns)
 
     def run(batches):
         for b in slices(batches):
-            yield b.append_column("_fp", pa.array([fingerprint((t or "").encode()) for t in b.column(place).to_pylist()], pa.int64()))
+            yield b.append_column(f"{own}fp", pa.array([fingerprint((t or "").encode()) for t in b.column(place).to_pylist()], pa.int64()))
 
-    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])).join(label.withColumnRenamed("fp", "_fp").hint("merge"), "_fp")
-    return rows.where(F.col(id_col).eqNullSafe(F.col("component_id"))).dropDuplicates(["top"]).select(docs.columns)
+    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(f"{own}fp", T.LongType())]))
+    rows = rows.join(label.select(*[F.col(c).alias(own + c) for c in ("fp", "top", "component_id")]).hint("merge"), f"{own}fp")
+    return rows.where(F.col(id_col).eqNullSafe(F.col(f"{own}component_id"))).dropDuplicates([f"{own}top"]).select(docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
