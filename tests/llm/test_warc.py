@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -122,3 +123,15 @@ def test_a_flipped_byte_in_a_member_of_many_records():
     after = W.member(W.record(200, "u", b"after", None, False))
     out = list(W.salvage(bytes(whole) + after))
     assert set(range(70)) | {200} <= set(ids_of(out)) and any(isinstance(x, W.Gap) for x in out)
+
+
+def test_time_grows_with_the_archive():
+    """Members, and plain bytes full of version lines that begin no record, are read once."""
+    rnd = random.Random(4)
+    some = [W.record(i, None, rnd.randbytes(3000), None, False) for i in range(4000)]
+    began = time.perf_counter()
+    assert sum(isinstance(x, W.Record) for x in W.salvage(b"".join(map(W.member, some)))) == 4000
+    bad = b"".join(some[:2000]).replace(b"WARC-Record-ID", b"WARC-Record-IE")
+    gaps = list(W.salvage(bad + some[0] + bad))
+    assert [type(x) for x in gaps] == [W.Gap, W.Record, W.Gap]
+    assert time.perf_counter() - began < 20

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,6 +38,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Compressed bytes that are decompressed at a time.
 STEP = 1 << 16
 GZIP, VERSION, END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
+LINE, MARK = re.compile(re.escape(VERSION)), re.compile(re.escape(GZIP) + b"|" + re.escape(VERSION))
 #: Headers that every record has. Fixed values.
 REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 RECORDS = "path string, start long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, gap_end long, reason string, inner_start long, inner_end long"
@@ -145,9 +147,10 @@ def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
     return b"".join(out), min(place, len(data)) - len(d.unused_data), ""
 
 
-def _next(data: bytes, at: int, *marks: bytes) -> int:
-    """The next place where one of the marks begins."""
-    return min([x for x in (data.find(m, at) for m in marks) if x >= 0], default=len(data))
+def _next(data: bytes, at: int, mark: re.Pattern[bytes] = MARK) -> int:
+    """The next place where a member or a version line begins."""
+    found = mark.search(data, at)
+    return found.start() if found else len(data)
 
 
 def _inside(inner: bytes, start: int, end: int, wrong: str) -> Iterator[Record | Gap]:
@@ -159,7 +162,7 @@ def _inside(inner: bytes, start: int, end: int, wrong: str) -> Iterator[Record |
         except Bad as e:
             if bad is None:
                 bad, reason = at, str(e)
-            at = _next(inner, at + 1, VERSION)
+            at = _next(inner, at + 1, LINE)
             continue
         if bad is not None:
             yield Gap(start, end, reason, bad, at)
@@ -195,7 +198,7 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         except Bad as e:
             if bad is None:
                 bad, reason = at, str(e)
-            at = _next(data, at + 1, GZIP, VERSION)
+            at = _next(data, at + 1)
             continue
         if bad is not None:
             yield Gap(bad, at, reason)
@@ -208,13 +211,13 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
 
 def _after(data: bytes, at: int, error: int, inner: bytes) -> int:
     """Where a damaged member is left: at the next place with a valid record, if it comes before the place of the error, else at the next mark after the error."""
-    place = _next(data, at + 1, GZIP, VERSION)
+    place = _next(data, at + 1)
     while place < error:
         # deflate may store bytes as they are: what the member gave already doesn't count again
         if data[place : place + 64] not in inner and _begins(data, place):
             return place
-        place = _next(data, place + 1, GZIP, VERSION)
-    return _next(data, error, GZIP, VERSION)
+        place = _next(data, place + 1)
+    return _next(data, error)
 
 
 def _begins(data: bytes, at: int) -> bool:
