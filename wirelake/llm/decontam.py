@@ -1,16 +1,20 @@
 """Benchmark decontamination with spaced seeds.
 
-Words are lower-cased (A-Z) and split at the contract's white space. Four fixed masks of weight four, of which three ignore a
-word, name places by a hash of the words they keep. Equal hashes of a document and an item give a diagonal; around it the words
+Words are lower-cased (A-Z) and split at the contract's white space. Fixed masks, which ignore some word positions,
+name places by a hash of the words they keep. Equal hashes of a document and an item give a diagonal; around it the words
 are compared place by place, so substituted words cost a match and nothing else. A document is contaminated by an item where, in a window of
-``WINDOW`` words of the item (the whole item if it is shorter), at least ``SIMILAR`` of the words agree. The masks are lossless for this rule: with
-at most a fifth of the words of 5 to 16 substituted, at least one mask of the family falls on agreeing words only.
+``WINDOW`` words of the item (the whole item if it is shorter), at least ``SIMILAR`` of the words agree.
+
+The masks are lossless for this rule. Items of ``LONG`` words and more have masks of weight six: a window's first 15 words
+are five blocks of three, at most three words are substituted, so two blocks agree, and there is a mask for each distance of two blocks. In
+shorter items at most two words are substituted, and one mask of weight four falls on agreeing words only.
 
 The items are joined in blocks of at most ``BLOCK_WORDS`` words: each block's table is broadcast (its size is bounded) and the documents are
 scanned once for each block, so a large benchmark costs passes, not memory, and a passage in a third of the documents
 moves no rows.
 
-Edge cases: null and empty texts and items are never contaminated; items of fewer than ``SHORTEST`` words are no passages and are not reported;
+Edge cases: null and empty texts and items are never contaminated; items of fewer than ``SHORTEST`` words have no
+five-word shingle, are no passages and are not reported;
 repeated documents are each reported, repeated items under each id; an item with null id is reported with null; empty tables give an empty
 result; extra columns are ignored by pairs() and kept by clean().
 """
@@ -26,8 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import slices, table, text_bytes
 
-MASKS = ("1111", "11101", "11011", "10111")
-WINDOW, SIMILAR, SHORTEST, BLOCK_WORDS, GAP = 16, 0.8, 5, 500_000, 8
+LONG = 15
+MASKS = {False: ("1111", "11101", "11011", "10111"), True: ("111111", "111000111", "111000000111", "111000000000111")}
+WINDOW, SIMILAR, SHORTEST, BLOCK_WORDS, GAP = 16, 0.8, 5, 500_000, 16
 
 
 class Index:
@@ -42,15 +47,18 @@ class Index:
                 self.words.append(np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.int32))
         rng = np.random.default_rng(11)
         self.value = rng.integers(1, 2**63, len(self.vocab) + 1, np.uint64)
-        self.factor = rng.integers(0, 2**62, 8, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.factor = rng.integers(0, 2**62, GAP, np.uint64) * np.uint64(2) + np.uint64(1)
         flat, item, place = self._flat()
-        self.tables = []
-        for mask in MASKS:
-            at, h = self.seeds(flat, mask)
-            order = np.argsort(h, kind="stable")
-            low = np.zeros(1 << 22, bool)
-            low[(h >> np.uint64(42)).astype(np.int64)] = True
-            self.tables.append((mask, h[order], item[at[order]], place[at[order]], low))
+        long, self.tables = np.array([len(w) >= LONG for w in self.words], bool), []
+        for kind, masks in MASKS.items():
+            for mask in masks if (long == kind).any() else ():
+                at, h = self.seeds(flat, mask)
+                mine = long[item[at]] == kind
+                at, h = at[mine], h[mine]
+                order = np.argsort(h, kind="stable")
+                low = np.zeros(1 << 22, bool)
+                low[(h >> np.uint64(42)).astype(np.int64)] = True
+                self.tables.append((mask, h[order], item[at[order]], place[at[order]], low))
 
     def _flat(self):
         pad = np.zeros(GAP, np.int32)
