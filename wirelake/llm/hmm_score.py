@@ -28,7 +28,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import crc_mod, drop_stash, slices, stash, table, text_bytes
 
@@ -37,6 +36,8 @@ CLASSES = TOP + ENDINGS + 1
 UNKNOWN = CLASSES - 1
 FOLDS, HELD = 7, 2
 PSEUDO, STAY = 100.0, 0.9
+#: Tokens whose forward variables are held at a time.
+ROOM = 1_000_000
 
 BLOCKS = "block long, ids array<long>, lens array<int>, train array<boolean>, tokens binary, words array<binary>, seen array<long>"
 SEQUENCES = "block long, ids array<long>, lens array<int>, train array<boolean>, classes binary, known array<int>, base array<double>, lexical array<double>"
@@ -143,40 +144,69 @@ class Steps:
         self.active = np.bincount(time) if len(time) else np.zeros(0, int)
         self.at = np.concatenate(([0], np.cumsum(self.active)))
 
-    def forward(self, model: Model, keep: bool = False):
-        """Log-likelihoods in the order of the input; with keep, the scaled forward variables and scales of all steps too."""
-        emit, like = np.ascontiguousarray(model.emit.T), np.zeros(len(self.order))
-        alpha = np.empty((len(self.classes), len(model.start))) if keep else None
-        scales = np.empty(len(self.classes)) if keep else None
-        now = None
+    def forward(self, model: Model) -> np.ndarray:
+        """Log-likelihoods in the order of the input."""
+        emit, like, now = np.ascontiguousarray(model.emit.T), np.zeros(len(self.order)), None
         for t, n in enumerate(self.active):
             a, b = self.at[t], self.at[t + 1]
             now = (model.start if t == 0 else now[:n] @ model.move) * emit[self.classes[a:b]]
             s = now.sum(1)
             now /= s[:, None]
             like[:n] += np.log(s)
-            if keep:
-                alpha[a:b], scales[a:b] = now, s
         out = np.empty_like(like)
         out[self.order] = like
-        return (out, alpha, scales) if keep else out
+        return out
+
+    def _cuts(self, room: int) -> list[int]:
+        """Times that cut the steps into spans of at most room tokens (or one step)."""
+        cuts = [0]
+        for t in range(1, len(self.active)):
+            if self.at[t + 1] - self.at[cuts[-1]] > room:
+                cuts.append(t)
+        return [*cuts, len(self.active)]
+
+    def _span(self, model: Model, emit: np.ndarray, now, lo: int, hi: int, keep: bool):
+        """The forward variables after the steps from lo up to hi; with keep, those of all its steps and the scales."""
+        first = self.at[lo]
+        alpha = np.empty((self.at[hi] - first, len(model.start))) if keep else None
+        scales = np.empty(self.at[hi] - first) if keep else None
+        for t in range(lo, hi):
+            a, b = self.at[t], self.at[t + 1]
+            now = (model.start if t == 0 else now[: b - a] @ model.move) * emit[self.classes[a:b]]
+            s = now.sum(1)
+            now /= s[:, None]
+            if keep:
+                alpha[a - first : b - first], scales[a - first : b - first] = now, s
+        return now, alpha, scales
 
-    def expect(self, model: Model):
-        """Expected counts of starts, moves and emissions."""
-        _, alpha, scales = self.forward(model, keep=True)
+    def expect(self, model: Model, room: int = ROOM):
+        """Expected counts of starts, moves and emissions. Forward variables are held for a span of steps at a time, and computed again from the span's first."""
         emit = np.ascontiguousarray(model.emit.T)
-        beta, moves = None, np.zeros_like(model.move)
-        for t in range(len(self.active) - 1, -1, -1):
-            a, b, n = self.at[t], self.at[t + 1], self.active[t]
-            new = np.ones((n, len(model.start)))
-            if beta is not None:
-                m = len(beta)
-                moves += alpha[a : a + m].T @ beta
-                new[:m] = beta @ model.move.T
-            beta = None if t == 0 else new * emit[self.classes[a:b]] / scales[a:b, None]
-            alpha[a:b] *= new  # now the posterior
-        counts = np.stack([np.bincount(self.classes, alpha[:, k], model.emit.shape[1]) for k in range(alpha.shape[1])])
-        return alpha[: self.active[0]].sum(0) if len(self.active) else np.zeros(len(model.start)), moves * model.move, counts
+        k, classes = len(model.start), model.emit.shape[1]
+        start, moves, counts = np.zeros(k), np.zeros((k, k)), np.zeros((k, classes))
+        if not len(self.active):
+            return start, moves, counts
+        cuts = self._cuts(room)
+        before = [None]
+        for lo, hi in zip(cuts[:-2], cuts[1:-1], strict=True):
+            before.append(self._span(model, emit, before[-1], lo, hi, False)[0])
+        beta = None  # of the step after, times its emission over its scale
+        for lo, hi, now in reversed(list(zip(cuts[:-1], cuts[1:], before, strict=True))):
+            _, alpha, scales = self._span(model, emit, now, lo, hi, True)
+            first = self.at[lo]
+            for t in range(hi - 1, lo - 1, -1):
+                a, b, n = self.at[t] - first, self.at[t + 1] - first, self.active[t]
+                new = np.ones((n, k))
+                if beta is not None:
+                    m = len(beta)
+                    moves += alpha[a : a + m].T @ beta
+                    new[:m] = beta @ model.move.T
+                beta = new * emit[self.classes[self.at[t] : self.at[t + 1]]] / scales[a:b, None]
+                alpha[a:b] *= new  # now the posterior
+            counts += np.stack([np.bincount(self.classes[first : self.at[hi]], alpha[:, j], classes) for j in range(k)])
+            if lo == 0:
+                start = alpha[: self.active[0]].sum(0)
+        return start, moves * model.move, counts
 
 
 def _pieces(block, pick: np.ndarray, size: int = 400_000):
@@ -289,25 +319,25 @@ def prepare(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tupl
     words = blocks.select("block", F.posexplode(F.arrays_zip("words", "seen")).alias("local", "w"))
     words = words.select("block", "local", F.col("w.words").alias("word"), F.col("w.seen").alias("n"))
     # a word has at most one row for each block, however often it occurs
-    by_word = Window.partitionBy("word")
     ending = F.pmod(F.xxhash64(F.substring("word", -3, 3)), F.lit(ENDINGS)).cast("int") + TOP
-    counted = words.select("block", "local", F.xxhash64("word").alias("wh"), ending.alias("ending"), F.sum("n").over(by_word).alias("c"), (F.col("block") == F.min("block").over(by_word)).alias("first"))
-    counted = stash(counted, "hmm-words")
-    types = counted.where("first and c > 0")
+    counted = words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0")
+    types = stash(counted.select("word", F.xxhash64("word").alias("wh"), ending.alias("ending"), "c"), "hmm-words")
     total, kinds, once = types.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1)).first()
     top = types.orderBy(F.desc("c"), "wh").limit(TOP).select("wh", "c").collect()  # TOP rows at most
     spark = docs.sparkSession
     rank = spark.createDataFrame([(r.wh, i) for i, r in enumerate(top)], "wh long, rank int")
-    classed = counted.join(F.broadcast(rank), "wh", "left").withColumn("cls", F.coalesce("rank", "ending"))
+    classed = types.join(F.broadcast(rank), "wh", "left").select("word", F.coalesce("rank", "ending").alias("cls"), "c")
     mass, rare = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in classed.where("first").groupBy("cls").agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once")).collect():  # CLASSES rows at most
+    for r in classed.groupBy("cls").agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once")).collect():  # CLASSES rows at most
         mass[r.cls], rare[r.cls] = r.c, r.once
     lex = Lexicon(int(total), int(kinds), int(once), mass, rare)
-    by_block = classed.select("block", "local", "cls", "c").groupBy("block")  # a block's size is bounded
+    # a common word's blocks may be many: a shuffled join whose skewed partitions AQE splits
+    each = words.select("block", "local", "word").join(classed.hint("merge"), "word", "left")
+    by_block = each.select(F.col("block").alias("of"), "local", F.coalesce("cls", F.lit(UNKNOWN)).alias("cls"), F.coalesce("c", F.lit(0)).alias("c")).groupBy("of")  # a block's size is bounded
     sequences = blocks.drop("words", "seen").groupBy("block").cogroup(by_block).applyInArrow(_sequencer(lex), SEQUENCES)
     sequences = stash(sequences, "hmm-sequences")
     drop_stash(blocks)
-    drop_stash(counted)
+    drop_stash(types)
     return sequences, lex
 
 
