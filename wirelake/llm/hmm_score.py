@@ -333,11 +333,12 @@ def prepare(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tupl
     lex = Lexicon(int(total), int(kinds), int(once), mass, rare)
     # a common word's blocks may be many: a shuffled join whose skewed partitions AQE splits
     each = words.select("block", "local", "word").join(classed.hint("merge"), "word", "left")
-    by_block = each.select(F.col("block").alias("of"), "local", F.coalesce("cls", F.lit(UNKNOWN)).alias("cls"), F.coalesce("c", F.lit(0)).alias("c")).groupBy("of")  # a block's size is bounded
+    each = stash(each.select(F.col("block").alias("of"), "local", F.coalesce("cls", F.lit(UNKNOWN)).alias("cls"), F.coalesce("c", F.lit(0)).alias("c")), "hmm-classed", "zstd")
+    by_block = each.groupBy("of")  # a block's size is bounded
     sequences = blocks.drop("words", "seen").groupBy("block").cogroup(by_block).applyInArrow(_sequencer(lex), SEQUENCES)
     sequences = stash(sequences, "hmm-sequences")
-    drop_stash(blocks)
-    drop_stash(types)
+    for t in (blocks, types, each):
+        drop_stash(t)
     return sequences, lex
 
 
