@@ -1,5 +1,6 @@
 import hashlib
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,19 @@ def test_reencode_finds_layers_that_an_older_reader_left(spark, store, tmp_path)
     assert other.table("packets").first().components == 2 | 16 | 1024
 
 
+def test_time_bounds_reach_the_scan(spark, tmp_path):
+    s = ParquetStore(spark, str(tmp_path / "days"))
+    paths = [write(tmp_path / f"{d}.pcap", P.pcap(mixed(d * 100_000 * 10**9))) for d in range(3)]
+    ingest.ingest(s, pcap.read_files(spark, paths))
+    ingest.ingest(s, pcap.read_files(spark, paths[:1]))  # a second sequence number
+    bound = s.table("packets").agg(F.max("ts")).first()[0] - 50_000 * 10**9
+    found = S.matching(s, "", S.Scope(start=bound))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scan = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters: \[(.*?)\], ", plan)
+    assert "day" in scan[1] and "GreaterThanOrEqual(ts" in scan[2]
+    assert found.count() == 5 and s.table("packets").count() == 15
+
+
 def test_retention_drops_old_days_and_orphans(spark, tmp_path):
     s = ParquetStore(spark, str(tmp_path / "r"))
     old = write(tmp_path / "old.pcap", P.pcap(mixed()))

@@ -81,6 +81,35 @@ def test_prefixes_cover_ranges_exactly(spark):
         assert sorted(got[lo, hi]) == want
 
 
+def test_prefixes_of_six_cover_ranges_exactly(spark):
+    rnd = random.Random(2)
+    top = 2**128 - 1
+    ranges = [(0, top), (5, 5), (4, 5), (5, 6), (0, 2**127), (top, top), (0, top - 1), (1, top), (2**64, 2**65 - 1)] + [tuple(sorted((rnd.getrandbits(128), rnd.getrandbits(128)))) for _ in range(25)]
+    ranges += [(a, a + rnd.getrandbits(20)) for a in (rnd.getrandbits(127) for _ in range(25))]
+    df = spark.createDataFrame([(i, bytearray(a.to_bytes(16, "big")), bytearray(b.to_bytes(16, "big"))) for i, (a, b) in enumerate(ranges)], "i int, lo binary, hi binary")
+    got = {}
+    for r in geoip.prefixes6(df, "lo", "hi").collect():
+        got.setdefault(r.i, []).append((int(r.prefix.ljust(128, "0"), 2), r.len))
+    for i, (lo, hi) in enumerate(ranges):
+        want = [(int(n.network_address), n.prefixlen) for n in ipaddress.summarize_address_range(ipaddress.IPv6Address(lo), ipaddress.IPv6Address(hi))]
+        assert sorted(got[i]) == want
+
+
+def test_texts_of_six(spark):
+    good = ["::", "::1", "2001:db8::5", "1:2:3:4:5:6:7:8", "fe80::", "::ffff:10.0.0.9", "1::8", "ABCD:ef01::1"]
+    bad = ["", "x", "1:2", "1:2:3:4:5:6:7:8:9", "1::2::3", ":::", "12345::", ":1:2:3:4:5:6:7", "10.0.0.1", "1:2:3:4:5:6:7:"]
+    rows = spark.createDataFrame([(t,) for t in good + bad + [None]], "t string").select("t", A.ip6_parse(F.col("t")).alias("b")).collect()
+    assert {r.t: bytes(r.b) for r in rows if r.b is not None} == {t: ipaddress.ip_address(t).packed for t in good}
+
+
+def test_lookup_answers_both_families(spark):
+    city = spark.createDataFrame([("10.0.0.0", "10.255.255.255", "AA", "", "", "big", "", 0.0, 0.0, ""), ("2001:db8::3", "2001:db8::ff", "CC", "", "", "six", "", 0.0, 0.0, ""), ("2001:db8::7", "2001:db8::7", "DD", "", "", "one", "", 0.0, 0.0, "")], geoip.CITY_SCHEMA)
+    asn = spark.createDataFrame([("2001:db8::", "2001:db8::6", "64501", "six net")], geoip.ASN_SCHEMA)
+    ips = spark.createDataFrame([("10.0.0.9",), ("2001:db8::5",), ("2001:db8::7",), ("2001:db8::2",), ("::ffff:10.0.0.9",)], "ip string")
+    rows = {r.ip: (r.country_code, r.city, r.asn, r.org) for r in geoip.lookup(ips, city, asn).collect()}
+    assert rows == {"10.0.0.9": ("AA", "big", "", ""), "2001:db8::5": ("CC", "six", "64501", "six net"), "2001:db8::7": ("DD", "one", "", ""), "2001:db8::2": ("", "", "64501", "six net"), "::ffff:10.0.0.9": ("AA", "big", "", "")}
+
+
 def test_lookup_takes_the_longest_prefix(spark):
     city = spark.createDataFrame([("10.0.0.0", "10.255.255.255", "AA", "", "", "big", "", 0.0, 0.0, ""), ("10.1.0.0", "10.1.0.255", "BB", "", "", "small", "", 0.0, 0.0, ""), ("2001:db8::", "2001:db8::ff", "CC", "", "", "six", "", 0.0, 0.0, "")], geoip.CITY_SCHEMA)
     asn = spark.createDataFrame([("10.1.0.0", "10.1.255.255", "64500", "net")], geoip.ASN_SCHEMA)

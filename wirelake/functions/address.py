@@ -67,6 +67,21 @@ def ip6_text(c: Column) -> Column:
     return F.when(h.startswith("00000000000000000000ffff"), F.concat(F.lit("::ffff:"), ip4_text(low))).when(c.isNotNull(), short)
 
 
+def ip6_parse(c: Column) -> Column:
+    """The 16 bytes of an IPv6 text (with "::", and with a dotted tail); null if it is none."""
+    four = F.regexp_extract(c, r":([0-9]+\.[0-9.]+)$", 1)
+    tail = ip4_parse(F.when(four != "", four))
+    plain = F.when(four == "", c).otherwise(F.concat(F.substr(c, F.lit(1), F.char_length(c) - F.char_length(four)), F.conv(F.shiftright(tail, 16).cast("string"), 10, 16), F.lit(":"), F.conv(tail.bitwiseAND(0xFFFF).cast("string"), 10, 16)))
+    halves = F.split(plain, "::", -1)
+    groups = lambda i: F.array_remove(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), "")
+    left, right = groups(0), groups(1)
+    n, short = F.size(left) + F.size(right), F.size(halves) == 2
+    whole = F.when(short, n <= 7).otherwise((F.size(halves) == 1) & (n == 8)) & ~plain.rlike("^:[^:]|[^:]:$|:::")
+    good = whole & F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$"))
+    digits = lambda g: F.array_join(F.transform(g, lambda x: F.lpad(x, 4, "0")), "")
+    return F.when(good, F.unhex(F.concat(digits(left), F.repeat(F.lit("0000"), F.greatest(F.lit(0), 8 - n)), digits(right))))
+
+
 def strip_mapped(text: Column) -> Column:
     """Text of an address without the prefix of a mapped IPv4 one."""
     return F.regexp_replace(text, "^::ffff:", "")

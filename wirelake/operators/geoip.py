@@ -80,13 +80,45 @@ def longest_prefix(addresses: DataFrame, table: DataFrame, ip: str = "ip", value
 
 
 def lookup(addresses: DataFrame, city: DataFrame, asn: DataFrame, text: str = "ip") -> DataFrame:
-    """Dotted addresses with country_code, city, asn and org, from range tables as read by read_city and read_asn."""
-    num = lambda t, lo="ip_range_start", hi="ip_range_end": t.where(~F.col(lo).contains(":")).withColumns({"lo": A.ip4_parse(F.col(lo)), "hi": A.ip4_parse(F.col(hi))}).where("lo is not null and hi >= lo")
-    places = prefixes(num(city), "lo", "hi").select("network", "len", F.coalesce("country_code", F.lit("")).alias("country_code"), F.coalesce("city", F.lit("")).alias("city"))
-    nets = prefixes(num(asn), "lo", "hi").select("network", "len", F.coalesce("autonomous_system_number", F.lit("")).alias("asn"), F.coalesce("autonomous_system_organization", F.lit("")).alias("org"))
-    rows = addresses.withColumn("_ip", A.ip4_parse(F.col(text)))
-    rows = longest_prefix(rows, places, "_ip", ("country_code", "city"))
-    return longest_prefix(rows, nets, "_ip", ("asn", "org")).drop("_ip")
+    """Addresses of either family with country_code, city, asn and org, from range tables as read by read_city and read_asn. A mapped IPv4 address counts as IPv4."""
+    plain = A.strip_mapped(F.col(text))
+    rows = addresses.withColumns({"_ip": A.ip4_parse(plain), "_ip6": F.when(plain.contains(":"), A.ip6_parse(plain))})
+    for table, values, columns in ((city, ("country_code", "city"), ("country_code", "city")), (asn, ("asn", "org"), ("autonomous_system_number", "autonomous_system_organization"))):
+        named = table.select("ip_range_start", "ip_range_end", *[F.coalesce(F.col(c), F.lit("")).alias(v) for c, v in zip(columns, values, strict=True)])
+        six = F.col("ip_range_start").contains(":")
+        four = named.where(~six).withColumns({"lo": A.ip4_parse(F.col("ip_range_start")), "hi": A.ip4_parse(F.col("ip_range_end"))}).where("lo is not null and hi >= lo")
+        more = named.where(six).withColumns({"lo": A.ip6_parse(F.col("ip_range_start")), "hi": A.ip6_parse(F.col("ip_range_end"))}).where("lo is not null and hi >= lo")
+        rows = longest_prefix(rows, prefixes(four, "lo", "hi").select("network", "len", *values), "_ip", values)
+        again = tuple(f"_{v}" for v in values)
+        long = prefixes6(more, "lo", "hi").select("prefix", "len", *[F.col(v).alias(w) for v, w in zip(values, again, strict=True)])
+        rows = longest_prefix6(rows, long, "_ip6", again)
+        rows = rows.withColumns({v: F.when(F.col("_ip6").isNotNull(), F.col(w)).otherwise(F.col(v)) for v, w in zip(values, again, strict=True)}).drop(*again)
+    return rows.drop("_ip", "_ip6")
+
+
+def _bits6(h: Column) -> Column:
+    """Hex digits as a text of bits."""
+    return F.array_join(F.transform(F.split(h, ""), lambda c: F.when(c == "", "").otherwise(F.lpad(F.conv(c, 16, 2), 4, "0"))), "")
+
+
+def prefixes6(df: DataFrame, lo: str, hi: str) -> DataFrame:
+    """Each range [lo, hi] of 16-byte addresses as the prefixes that cover it exactly: columns prefix (its bits as text) and len are added, a row for each.
+
+    Below the bits that both ends share, a range holds the right-hand sides of lo's path and the left-hand sides of hi's path through the tree of bits, and
+    the largest subtrees that end these paths: at most 254 prefixes, each read off the ends.
+    """
+    d = df.withColumns({"_a": _bits6(F.hex(lo)), "_b": _bits6(F.hex(hi))})
+    places = F.sequence(F.lit(1), F.lit(128))
+    bit = lambda c, i: F.substr(F.col(c), i, F.lit(1))
+    shared = F.coalesce(F.get(F.filter(places, lambda i: bit("_a", i) != bit("_b", i)), F.lit(0)), F.lit(129)) - 1
+    d = d.withColumns({"_c": shared, "_z": 128 - F.char_length(F.rtrim(F.translate("_a", "01", " 1"))), "_o": 128 - F.char_length(F.rtrim(F.translate("_b", "10", " 0")))})
+    # where lo's and hi's last subtrees begin: below the first bit that differs
+    d = d.withColumns({"_l": F.greatest(128 - F.col("_z"), F.col("_c") + 1), "_r": F.greatest(128 - F.col("_o"), F.col("_c") + 1)})
+    whole = (F.col("_c") == 128) | ((F.col("_l") == F.col("_c") + 1) & (F.col("_r") == F.col("_c") + 1) & (128 - F.col("_z") <= F.col("_c") + 1) & (128 - F.col("_o") <= F.col("_c") + 1))
+    side = lambda c, end, own, other: F.transform(F.filter(places, lambda i: (i > F.col("_c") + 1) & (i <= F.col(end)) & (bit(c, i) == own)), lambda i: F.concat(F.substr(F.col(c), F.lit(1), i - 1), F.lit(other)))
+    ends = F.array(F.substr(F.col("_a"), F.lit(1), F.col("_l")), F.substr(F.col("_b"), F.lit(1), F.col("_r")))
+    each = F.when(whole, F.array(F.substr(F.col("_a"), F.lit(1), F.col("_c")))).otherwise(F.concat(ends, side("_a", "_l", "0", "1"), side("_b", "_r", "1", "0")))
+    return d.withColumn("prefix", F.explode(each)).withColumn("len", F.char_length("prefix")).drop("_a", "_b", "_c", "_z", "_o", "_l", "_r")
 
 
 def prefix6(lo: Column, hi: Column) -> tuple[Column, Column]:
@@ -105,13 +137,13 @@ def prefix6(lo: Column, hi: Column) -> tuple[Column, Column]:
 
 
 def longest_prefix6(addresses: DataFrame, table: DataFrame, ip: str, values: tuple[str, ...]) -> DataFrame:
-    """Like longest_prefix for 16-byte addresses; table(network hex, len, …). Networks are compared on their bits as text."""
+    """Like longest_prefix for 16-byte addresses; table(network hex or prefix as bits, len, …). Networks are compared on their bits as text."""
     lengths = [r[0] for r in table.select("len").distinct().collect()]  # 129 at most
     if not lengths:
         return addresses.withColumns({v: F.lit("") for v in values})
-    bits = lambda h: F.array_join(F.transform(F.split(h, ""), lambda c: F.when(c == "", "").otherwise(F.lpad(F.conv(c, 16, 2), 4, "0"))), "")
-    each = addresses.select(ip).where(F.col(ip).isNotNull()).distinct().withColumn("_b", bits(F.hex(ip))).withColumn("len", F.explode(F.array(*[F.lit(x) for x in sorted(lengths)])))
+    each = addresses.select(ip).where(F.col(ip).isNotNull()).distinct().withColumn("_b", _bits6(F.hex(ip))).withColumn("len", F.explode(F.array(*[F.lit(x) for x in sorted(lengths)])))
     each = each.withColumn("_k", F.substr("_b", F.lit(1), F.col("len"))).drop("_b")
-    keyed = table.withColumn("_k", F.substr(bits(F.col("network")), F.lit(1), F.col("len"))).select("len", "_k", *values)
+    prefix = F.col("prefix") if "prefix" in table.columns else F.substr(_bits6(F.col("network")), F.lit(1), F.col("len"))
+    keyed = table.withColumn("_k", prefix).select("len", "_k", *values)
     best = each.join(keyed, ["len", "_k"]).groupBy(ip).agg(F.max_by(F.struct(*values), F.struct("len", *values)).alias("_v"))
     return addresses.join(best, ip, "left").withColumns({v: F.coalesce(F.col(f"_v.{v}"), F.lit("")) for v in values}).drop("_v")

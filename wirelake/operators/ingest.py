@@ -42,9 +42,10 @@ def retry(act: Callable, tries: int = 5, first: float = 0.5, most: float = 30.0,
 
 
 def next_seq(store: ParquetStore) -> int:
-    """A sequence number above all that were used; a small ledger keeps them."""
+    """A sequence number above all that were used, by any writer; a small ledger keeps them. Nanoseconds of the clock keep writers at the same time apart."""
     path = f"{store.root}/_seq"
-    seq = (store.spark.read.schema("seq long").parquet(path).agg(F.max("seq")).first()[0] or 0) + 1 if files.exists(store.spark, path) else 1
+    used = (store.spark.read.schema("seq long").parquet(path).agg(F.max("seq")).first()[0] or 0) if files.exists(store.spark, path) else 0
+    seq = max(used + 1, time.time_ns())
     store.spark.createDataFrame([(seq,)], "seq long").write.mode("append").parquet(path)
     return seq
 

@@ -62,7 +62,7 @@ _FILTERS: dict[str, tuple[str, str]] = {
     "filter_bare_or": ("arp or ipv6", f"{IDS} WHERE (p.components & 8192) <> 0 OR (p.components & 32) <> 0"),
     "filter_bare_and_not": ("udp and not dns", f"{IDS} WHERE (p.components & 1024) <> 0 AND NOT (p.components & 2048) <> 0"),
     "filter_component_join": ("ipv4.ttl < 40 and tcp.flags = 2", f"{IDS} {J.format('ipv4')} {J.format('tcp')} WHERE ipv4.ttl < 40 AND tcp.flags = 2"),
-    "filter_capture_sensor": ("capture.sensor = 'BRAZIL' and tcp", f"{IDS} JOIN captures ON p.session_id = captures.session_id WHERE captures.sensor = 'BRAZIL' AND (p.components & 512) <> 0"),
+    "filter_capture_sensor": ("capture.sensor = 'NATION_2' and tcp", f"{IDS} JOIN captures ON p.session_id = captures.session_id WHERE captures.sensor = 'NATION_2' AND (p.components & 512) <> 0"),
     "filter_packet_field": ("packet.incl_len > 8 and p.trunc_extra = 1", f"{IDS} WHERE p.incl_len > 8 AND p.trunc_extra = 1"),
     "filter_boolean_combo": ("(dns.qr = 1 or udp.dst = 53) and not (ipv4.ttl between 40 and 80) and packet.packet_id % 3 != 0", f"{IDS} {J.format('dns')} {J.format('udp')} {J.format('ipv4')} WHERE (dns.qr = 1 OR udp.dst = 53) AND NOT (ipv4.ttl BETWEEN 40 AND 80) AND p.packet_id % 3 <> 0"),
     "filter_repeatable": ("dot1q.vlan_id < 30", f"{IDS} {J.format('dot1q')} WHERE dot1q.vlan_id < 30"),
@@ -217,14 +217,8 @@ def wide_view_filter(spark, d):
     return plain(w.select("session_id", "packet_id", F.col("ipv4.ttl").cast("int").alias("ttl"), F.when(F.col("dot1q").isNotNull(), F.size("dot1q")).cast("long").alias("n_tags")))
 
 
-@query("SELECT row_number() OVER (ORDER BY ts, session_id, packet_id) AS n, session_id, packet_id FROM p ORDER BY 1 LIMIT 500")
-def merge_captures(spark, d):
-    """The head of the merge, as its SQL has it."""
-    return plain(reassembly.merge_order(V.store(spark, d)).where("n <= 500").select("n", *KEYS))
-
-
 @query("SELECT row_number() OVER (ORDER BY ts, session_id, packet_id) AS n, session_id, packet_id FROM p")
-def merge_captures_all(spark, d):
+def merge_captures(spark, d):
     """The merge of all captures: every packet with its place."""
     return plain(reassembly.merge_order(V.store(spark, d)).select("n", *KEYS))
 
@@ -320,6 +314,28 @@ def range_to_cidr(spark, d):
 _CIDRS = "SELECT CAST(167772160 + (n_nationkey % 4) * 32 AS BIGINT) AS network, CASE WHEN n_nationkey < 4 THEN 27 ELSE 28 + n_nationkey % 4 END AS len, n_name AS country_code FROM nation"
 
 
+_NET6 = "concat('20010db8', lpad(lower(hex(n_nationkey * 4096 + 3)), 8, '0'), '0000000000000000')"
+_END6 = "concat('20010db8', lpad(lower(hex(n_nationkey * 4096 + 3 + 37 * (n_nationkey + 1))), 8, '0'), '0000000000000005')"
+
+
+@query("SELECT n_name AS country_code, CAST(37 * (n_nationkey + 1) AS BIGINT) AS upper_blocks, CAST(6 AS BIGINT) AS lower_rest, true AS disjoint FROM nation", views=False)
+def range_to_cidr6(spark, d):
+    """Every IPv6 range as exact prefixes: sizes in blocks of 2^64 addresses and single ones above them sum to the range, and no prefix holds another."""
+    r = V.read(spark, d, "nation").selectExpr(f"unhex({_NET6}) AS lo", f"unhex({_END6}) AS hi", "n_name AS country_code")
+    out = geoip.prefixes6(r, "lo", "hi")
+    size = lambda top: F.sum(F.when(F.col("len").between(top - 63, top), F.pow(F.lit(2.0), top - F.col("len")).cast("long")).otherwise(0))
+    return out.groupBy("country_code").agg(size(64).cast("long").alias("upper_blocks"), size(128).cast("long").alias("lower_rest"), (F.count_distinct("prefix") == F.count(F.lit(1))).alias("disjoint"))
+
+
+@query("SELECT DISTINCT '2001:db8::' || lower(to_hex(user_id)) AS ip, coalesce('N' || CASE WHEN user_id < 256 THEN CAST(user_id // 32 AS VARCHAR) END, '') AS country_code, CASE WHEN user_id % 64 = 5 THEN 'single' WHEN user_id < 256 THEN 'block' ELSE '' END AS city FROM events", views=False)
+def geo_lookup6(spark, d):
+    """IPv6 addresses against ranges of 32 addresses, and every 64th address in a range of its own."""
+    ips = V.read(spark, d, "events").selectExpr("concat('2001:db8::', lower(hex(user_id))) AS ip").distinct()
+    blocks = spark.range(8).selectExpr("concat('2001:db8::', lower(hex(id * 32))) AS ip_range_start", "concat('2001:db8::', lower(hex(id * 32 + 31))) AS ip_range_end", "concat('N', id) AS country_code", "'block' AS city")
+    single = spark.range(4).selectExpr("concat('2001:db8::', lower(hex(id * 64 + 5))) AS ip_range_start", "concat('2001:db8::', lower(hex(id * 64 + 5))) AS ip_range_end", "concat('N', id * 2) AS country_code", "'single' AS city")
+    return geoip.lookup(ips, blocks.unionByName(single), spark.createDataFrame([], geoip.ASN_SCHEMA)).select("ip", "country_code", "city")
+
+
 @query("SELECT ip, coalesce(c.country_code, '') AS country_code FROM (SELECT DISTINCT 167772160 + user_id AS ip FROM events) LEFT JOIN (SELECT a.ip AS i, max_by(country_code, len * 1000 + ascii(country_code) * 1.0 + 0) AS country_code FROM (SELECT DISTINCT 167772160 + user_id AS ip FROM events) a JOIN (SELECT network, len, max(country_code) AS country_code FROM (" + _CIDRS + ") GROUP BY 1, 2) n ON a.ip >= n.network AND a.ip < n.network + (1 << (32 - len)) GROUP BY 1) c ON c.i = ip", views=False)
 def geo_longest_prefix(spark, d):
     table = V.read(spark, d, "nation").selectExpr("CAST(167772160 + (n_nationkey % 4) * 32 AS BIGINT) AS network", "CASE WHEN n_nationkey < 4 THEN 27 ELSE 28 + n_nationkey % 4 END AS len", "n_name AS country_code")
@@ -341,9 +357,11 @@ def retention_orphans(spark, d):
     return orphans(sessions, store.table("packets").where("ts >= 1704153600000000000").withColumn("session_id", F.col("session_id").cast("long")))
 
 
-@query("SELECT session_id, packet_id FROM p WHERE (components & 65024) = 0")
+@query("SELECT session_id, packet_id FROM p WHERE ((CASE WHEN packet_id % 7 = 0 THEN components & 511 ELSE components END) & 65024) = 0")
 def reencode_candidates(spark, d):
-    return plain(reassembly.reencode_candidates(V.store(spark, d).table("packets")))
+    """Every seventh packet has lost what was decoded above the network layer."""
+    p = V.store(spark, d).table("packets").withColumn("components", F.expr("CASE WHEN packet_id % 7 = 0 THEN components & 511 ELSE components END"))
+    return plain(reassembly.reencode_candidates(p))
 
 
 @query("SELECT p.session_id, p.packet_id, 'udp' AS component FROM p WHERE (components & 1024) <> 0 AND packet_id % 50 = 0")

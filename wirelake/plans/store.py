@@ -89,7 +89,9 @@ class ParquetStore(Store):
             if not self.exists(name):
                 return super().table(name)
             raw = self.raw(name)
-            self.tables[name] = raw.drop("_ingest_seq") if self.compacted else last_written(raw, TABLE_KEYS[name])
+            # a packet's ts never changes: as part of the key it lets bounds on day and ts through the window, down to the scan
+            keys = (*KEYS, "day", "ts") if name == "packets" else TABLE_KEYS[name]
+            self.tables[name] = raw.drop("_ingest_seq") if self.compacted else last_written(raw, keys)
         return self.tables[name]
 
     def refresh(self) -> None:

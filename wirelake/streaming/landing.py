@@ -12,7 +12,7 @@ SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def watch(spark: SparkSession, folder: str, store: ParquetStore, checkpoint: str, glob: str = "*.{pcap,pcapng}", sensor: str = "", files_per_batch: int = 100, clean: str = "off", archive: str | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Ingest new files batch by batch. The batch's number is the sequence number, so a batch that runs again writes the same rows.
+    """Ingest new files batch by batch. A batch that runs again writes the same rows under a higher sequence number, of which readers keep the last.
 
     clean: off, delete or archive what has been read. trigger: of writeStream, such as {"availableNow": True} to drain and stop.
     """
@@ -23,6 +23,6 @@ def watch(spark: SparkSession, folder: str, store: ParquetStore, checkpoint: str
     def take(batch: DataFrame, number: int) -> None:
         files = batch.select("path", "content")
         if not files.isEmpty():
-            ingest(store, files, sensor=sensor, seq=1_000_000_000 + number)
+            ingest(store, files, sensor=sensor)
 
     return source.load(folder).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
