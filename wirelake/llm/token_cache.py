@@ -151,7 +151,8 @@ def _rows(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
 
 def count_tokens(docs: DataFrame, cache: str | None = None, tokenizer: str = TOKENIZER, limit: int = LIMIT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, n_tokens, over_limit. cache: a folder that all executors share; a new one if None."""
-    counts = extend_cache(docs, cache or fresh_path(docs.sparkSession, "token-cache"), tokenizer, text)
+    # one row of each digest, written: an aggregate beside the join would keep AQE from splitting the copies of one text
+    counts = stash(extend_cache(docs, cache or fresh_path(docs.sparkSession, "token-cache"), tokenizer, text), "token-counts")
     keys = docs.select(F.col(id_col), digest(text_bytes(text)).alias("digest"))
     # A text's copies may hold a third of the keys: a shuffled join whose skewed partitions AQE splits.
     return keys.join(counts.select("digest", "n_bytes", "n_tokens").hint("merge"), "digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
