@@ -160,3 +160,19 @@ def test_sizes():
     for bad in ("", "x", "-1", "7b", "1iB", "1.3B", "1Ki"):
         with pytest.raises(ValueError):
             retention.parse_size(bad)
+
+
+def test_retry_waits_and_gives_up_at_once_on_errors_of_the_plan():
+    calls = []
+
+    def act(error, times):
+        calls.append(1)
+        if len(calls) <= times:
+            raise error
+        return "done"
+
+    assert ingest.retry(lambda: act(OSError("store"), 2), first=0.001) == "done" and len(calls) == 3
+    calls.clear()
+    with pytest.raises(KeyError):
+        ingest.retry(lambda: act(KeyError("table"), 9), first=0.001)
+    assert len(calls) == 1

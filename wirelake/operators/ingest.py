@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import logging
+import random
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,16 +30,21 @@ class Ingested:
 
 
 def retry(act: Callable, tries: int = 5, first: float = 0.5, most: float = 30.0, factor: float = 2.0):
-    """Call until it succeeds; waits grow by the factor. Spark repeats lost tasks itself: this is for a driver's commit."""
+    """Call until it succeeds; waits grow by the factor and vary by half, so that writers don't meet again. Errors of the plan or of its arguments go up at once.
+
+    Spark repeats lost tasks itself: this is for a driver's commit.
+    """
     wait = first
     for left in range(tries - 1, -1, -1):
         try:
             return act()
+        except (AnalysisException, TypeError, KeyError):
+            raise
         except Exception:  # the last try's error goes up
             if not left:
                 raise
-            log.warning("trying again in %.1f s", wait, exc_info=True)
-            time.sleep(wait)
+            log.warning("trying again in about %.1f s", wait, exc_info=True)
+            time.sleep(wait * random.uniform(0.5, 1.5))
             wait = min(most, wait * factor)
 
 
