@@ -387,30 +387,85 @@ def component_rows(dissected: DataFrame, name: str) -> DataFrame:
     return each.select(*KEYS, F.lit(VERSION).alias("codec_version"), F.col("_c.layer_index"), *[F.col(f"_c.{c.name}") for c in COMPONENTS[name].columns])
 
 
+#: A header's parts in order: name:bits are numbers from high to low (a number alone is a constant) of one word of up to 64 bits, a name alone is bytes as they are.
+_LAYOUT = {
+    "ethernet": "dst src kind:16",
+    "dot1q": "priority:3,drop_eligible:1,vlan_id:12,type:16",
+    "linuxsll": "l2_hdr_raw",
+    "ipv4": "4:4,ihl:4,tos:8,total_len:16,id:16,flags:3,frag_offset:13 ttl:8,protocol:8,hdr_checksum:16,src:32 dst:32 options_raw",
+    "ipv6": "6:4,traffic_class:8,flow_label:20,payload_len:16,protocol:8,hop_limit:8 src dst",
+    "ipv6_ext": "ext_raw",
+    "tcp": "src:16,dst:16,seq:32 ack:32,data_offset:4,0:3,flags:9,window:16 checksum:16,urgent:16 options_raw",
+    "udp": "src:16,dst:16,length:16,checksum:16",
+    "dns": "dns_raw",
+    "ntp": "ntp_raw",
+    "arp": "1:16,2048:16,6:8,4:8,arp_op:16 sender_mac sender_ip:32 target_mac target_ip:32",
+    "icmpv4": "type:8,code:8,checksum:16,id:16,seq:16",
+    "icmpv6": "type:8,code:8,checksum:16",
+    "gre": "bits:16,protocol:16",
+}
+
+
+def _word(fields: list[tuple[Column, int]]) -> Column:
+    """Numbers side by side as big-endian bytes; null where one needs more bits than it has."""
+    total, out, fits = sum(n for _, n in fields), None, None
+    below = total
+    for value, n in fields:
+        below -= n
+        value = value.cast("long")
+        part = F.shiftleft(value, below) if below else value
+        out = part if out is None else out.bitwiseOR(part)
+        ok = F.shiftrightunsigned(value, n) == 0
+        fits = ok if fits is None else fits & ok
+    return F.when(fits, F.unhex(F.lpad(F.hex(out), total // 4, "0")))
+
+
+def header(name: str, of: Callable[[str], Column]) -> Column:
+    """A layer's header bytes out of its columns; null where they don't give one."""
+    special = {}
+    if name == "ethernet":
+        special["kind"] = F.when(of("type") != 0, of("type")).otherwise(of("len"))
+    if name == "gre":
+        announced = [F.when(of("flags").bitwiseAND(1 << i) != 0, bit).otherwise(0) for i, bit in enumerate((GRE_CHECKSUM, GRE_KEY, GRE_SEQ))]
+        special["bits"] = announced[0].bitwiseOR(announced[1]).bitwiseOR(announced[2]).bitwiseOR(of("version").cast("int"))
+    pieces = []
+    for part in _LAYOUT[name].split(" "):
+        if ":" not in part:
+            pieces.append(of(part))
+            continue
+        fields = [f.split(":") for f in part.split(",")]
+        pieces.append(_word([(F.lit(int(f)) if f.isdigit() else special[f] if f in special else of(f), int(n)) for f, n in fields]))
+    if name == "gre":
+        optional = (_word([(of("checksum"), 16), (F.lit(0), 16)]), _word([(of("key"), 32)]), _word([(of("seq"), 32)]))
+        pieces += [F.when(of("flags").bitwiseAND(1 << i) != 0, w).otherwise(F.lit(b"")) for i, w in enumerate(optional)]
+    return F.concat(*pieces) if len(pieces) > 1 else pieces[0]
+
+
+def joined_frame(layers: Column, payload: Column, components: Column, incl_len: Column) -> tuple[Column, Column]:
+    """(frame, error) of a packet out of its ordered layers, structs with mask and bytes. One of them is null."""
+    have = F.aggregate(layers, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x["mask"]))
+    said = components.bitwiseAND(F.lit(~(RAW_FRAME | TRUNCATED)).cast("long"))
+    # a null header makes the whole null
+    heads = F.aggregate(layers, F.lit(b""), lambda a, x: F.concat(a, x["bytes"]))
+    whole = F.substr(F.concat(heads, F.coalesce(payload, F.lit(b""))), F.lit(1), incl_len.cast("int"))
+    differ = F.concat(F.lit("the presence bits are 0x"), F.lower(F.hex(said)), F.lit(", the layers 0x"), F.lower(F.hex(have)))
+    return F.when(said == have, whole), F.when(said != have, differ).when(heads.isNull(), "a layer's columns don't fit its header")
+
+
 def rebuild_frames(rows: DataFrame) -> DataFrame:
-    """Exported rows (as of reassembly.export_rows, or dissected ones) to (session_id, packet_id, ts, orig_len, frame, error).
+    """Dissected rows to (session_id, packet_id, ts, orig_len, frame, error).
 
-    A packet whose tables disagree with its presence bits has no frame and says why.
+    A packet whose layers disagree with its presence bits has no frame and says why.
     """
-    cols = ["session_id", "packet_id", "ts", "incl_len", "trunc_extra", "components", "payload"]
-    nested = "v" in rows.schema["ethernet"].dataType.elementType.fieldNames()
 
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                out = []
-                for r in batch.slice(lo, 2000).to_pylist():
-                    layers = sorted(((x["layer_index"], n, x["v"] if nested else x) for n in LAYERS for x in r[n] or ()), key=lambda x: x[0])
-                    try:
-                        frame, error = rebuild(r["components"], [(n, x) for _, n, x in layers], r["payload"] or b"")[: r["incl_len"]], None
-                    except (ValueError, struct.error, TypeError) as e:
-                        frame, error = None, str(e)
-                    out.append({"session_id": r["session_id"], "packet_id": r["packet_id"], "ts": r["ts"], "orig_len": r["incl_len"] + r["trunc_extra"], "frame": frame, "error": error})
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    kind = T.StructType([T.StructField("session_id", SESSION), T.StructField("packet_id", T.LongType()), T.StructField("ts", T.LongType()), T.StructField("orig_len", T.LongType()), T.StructField("frame", T.BinaryType()), T.StructField("error", T.StringType())])
-    schema = _arrow(kind)
-    return rows.select(*cols, *LAYERS).mapInArrow(run, kind)
+    def each(name: str) -> Column:
+        made = F.transform(name, lambda x: F.struct(x["layer_index"].alias("layer_index"), F.lit(COMPONENTS[name].mask).cast("long").alias("mask"), header(name, lambda c: x[c]).alias("bytes")))
+        return F.coalesce(made, F.array().cast("array<struct<layer_index:int,mask:bigint,bytes:binary>>"))
+
+    cols = [F.col(c) for c in ("payload", "components", "incl_len")]
+    put = rows.withColumn("_layers", F.array_sort(F.concat(*[each(n) for n in LAYERS])))
+    frame, error = joined_frame(F.col("_layers"), *cols)
+    return put.select(*KEYS, "ts", (F.col("incl_len") + F.col("trunc_extra")).alias("orig_len"), frame.alias("frame"), error.alias("error"))
 
 
 def has(name: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,3 +42,20 @@ def replace_folder(df: DataFrame, path: str, by: list[str]) -> None:
     fs.delete(p, True)
     if not fs.rename(_fs(spark, beside)[1], p):
         raise OSError(f"can't put {beside} in place of {path}")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the session's checkpoint folder; a local session without one gets a temporary one, any other is refused."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="wirelake-"))
+    return df.checkpoint()
+
+
+def drop_checkpoint(df: DataFrame) -> None:
+    """Delete the files of a checkpointed table that nothing reads any more."""
+    path = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if path.isDefined():
+        delete(df.sparkSession, path.get())

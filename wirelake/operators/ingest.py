@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.address import session_id
-from ..plans.search import Scope
+from ..plans.search import ORDER, Scope
 from ..plans.store import ParquetStore
 from ..registry import COMPONENTS, HTTP_COLUMNS, KEYS, STREAM_COLUMNS, UPPER_LAYERS, in_sessions
 from ..sources import pcap
@@ -118,11 +118,8 @@ def create_capture(store: ParquetStore, rows: DataFrame) -> int:
 
 
 def export(store: ParquetStore, path: str, text: str = "", scope: Scope = Scope()) -> int:
-    """Matching packets as one capture file in the order of time, session and packet. One session keeps its own file header."""
-    rows = codec.rebuild_frames(reassembly.export_rows(store, text, scope))
-    broken = rows.where("error IS NOT NULL").limit(1).collect()
-    if broken:
-        raise ValueError(f"packet {broken[0].packet_id} of session {broken[0].session_id}: {broken[0].error}")
+    """Matching packets as one capture file in the order of time, session and packet. One session keeps its own file header. ValueError where a packet can't be rebuilt."""
+    rows = reassembly.export_frames(store, text, scope).orderBy(*ORDER)
     captures = store.table("captures")
     if scope.sessions:
         captures = captures.where(in_sessions(scope.sessions))
@@ -144,8 +141,8 @@ class Reencoded:
 
 def reencode(store: ParquetStore, text: str = "", scope: Scope = Scope()) -> Reencoded:
     """Read packets without upper layers anew, and write those that gain some, under a higher sequence number. Packets that can't be rebuilt are left."""
-    rows = reassembly.export_rows(store, text, scope).where(F.col("components").bitwiseAND(UPPER_LAYERS) == 0)
-    frames = codec.rebuild_frames(rows).where("error IS NULL").join(store.table("captures").select("session_id", "linktype"), "session_id")
+    rows = reassembly.export_frames(store, text, scope).where(F.col("components").bitwiseAND(UPPER_LAYERS) == 0)
+    frames = rows.drop("components").where("error IS NULL").join(store.table("captures").select("session_id", "linktype"), "session_id")
     seq = next_seq(store)
     stage = f"{store.root}/_stage/{seq}"
     codec.dissect_frames(frames).write.parquet(f"{stage}/packets")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..plans.search import ORDER, Scope, matching
+from ..plans.search import ORDER, Scope, matching, scoped
 from ..plans.store import Store
-from ..registry import COMPONENTS, KEYS, UPPER_LAYERS
+from ..registry import COMPONENTS, KEYS, UPPER_LAYERS, in_sessions
+from . import codec, files
 
 
 #: Numbers that one window holds at most when runs are looked for, and nanoseconds of one when gaps are.
@@ -54,17 +53,49 @@ def export_rows(store: Store, text: str = "", scope: Scope = Scope()) -> DataFra
     return out.orderBy(*ORDER)
 
 
+def export_frames(store: Store, text: str = "", scope: Scope = Scope()) -> DataFrame:
+    """(session_id, packet_id, ts, orig_len, components, frame, error) of matching packets, in no order.
+
+    Every table's rows become header bytes, and one shuffle by packet brings all of them together: the last written of each layer counts,
+    and the layers in order give the frame. A packet that can't be rebuilt has no frame and says why. Only a filter or time bounds cost a semi join.
+    """
+    whole = not text.strip() and scope.start is None and scope.end is None
+    keys = None if whole else matching(store, text, scope).select(*KEYS)
+    head_type = "struct<ts:bigint,incl_len:bigint,trunc_extra:bigint,components:bigint>"
+
+    def side(name: str) -> DataFrame:
+        rows = store.versions(name)
+        rows = scoped(rows, scope) if name == "packets" else rows.where(in_sessions(scope.sessions)) if scope.sessions else rows
+        return rows if keys is None else rows.join(keys, list(KEYS), "left_semi")
+
+    def items(name: str, at, mask: int, data: Column, head: Column) -> DataFrame:
+        older = (-F.col("_ingest_seq")).alias("older")
+        return side(name).select(*KEYS, F.struct(at.cast("int").alias("layer_index"), F.lit(mask).cast("long").alias("mask"), older, data.alias("bytes"), head.cast(head_type).alias("head")).alias("_item"))
+
+    rows = items("packets", F.lit(-1), 0, F.col("payload"), F.struct("ts", "incl_len", "trunc_extra", "components"))
+    for name, comp in COMPONENTS.items():
+        rows = rows.unionByName(items(name, F.col("layer_index"), comp.mask, codec.header(name, F.col), F.lit(None)))
+    each = rows.repartition(*KEYS).groupBy(*KEYS).agg(F.array_sort(F.collect_list("_item")).alias("_all"))
+
+    def last(x: Column, i: Column) -> Column:
+        before = F.get("_all", i - 1)
+        return (i == 0) | (before["layer_index"] != x["layer_index"]) | (before["mask"] != x["mask"])
+
+    each = each.select(*KEYS, F.filter("_all", last).alias("_all")).where(F.get("_all", F.lit(0))["layer_index"] == -1)
+    each = each.select(*KEYS, F.get("_all", F.lit(0)).alias("_p"), F.slice("_all", F.lit(2), F.size("_all")).alias("_layers"))
+    head = F.col("_p")["head"]
+    frame, error = codec.joined_frame(F.col("_layers"), F.col("_p")["bytes"], head["components"], head["incl_len"])
+    return each.select(*KEYS, head["ts"].alias("ts"), (head["incl_len"] + head["trunc_extra"]).alias("orig_len"), head["components"].alias("components"), frame.alias("frame"), error.alias("error"))
+
+
 def merge_order(store: Store, text: str = "", scope: Scope = Scope()) -> DataFrame:
     """(n, ts, session_id, packet_id) of all matching packets: their places from 1 in export order, over all captures.
 
     One range sort; a row's place is its place in its sorted partition and the sizes of the partitions before it. The sorted keys are written
     to the checkpoint folder first, so that sizes and places come from the same partitions.
     """
-    sc = store.spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="wirelake-"))
     # the upper bits of the number are the partition, the lower 33 the place in it
-    rows = matching(store, text, scope).orderBy(*ORDER).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    rows = files.checkpointed(matching(store, text, scope).orderBy(*ORDER).withColumn("_at", F.monotonically_increasing_id()))
     rows = rows.select("ts", *KEYS, F.shiftright("_at", 33).cast("int").alias("_part"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_place"))
     before, total = [], 0
     for part, size in sorted(rows.groupBy("_part").count().collect()):  # one row for each partition

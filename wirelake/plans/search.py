@@ -50,8 +50,8 @@ def _on(left: str, right: str) -> Column:
     return (F.col(f"{left}.session_id") == F.col(f"{right}.session_id")) & (F.col(f"{left}.packet_id") == F.col(f"{right}.packet_id"))
 
 
-def _scoped(store: Store, scope: Scope) -> DataFrame:
-    p = store.table("packets")
+def scoped(p: DataFrame, scope: Scope) -> DataFrame:
+    """Packet rows within the scope."""
     if scope.sessions:
         p = p.where(in_sessions(scope.sessions))
     for bound, sign in ((scope.start, ">="), (scope.end, "<=")):
@@ -60,7 +60,7 @@ def _scoped(store: Store, scope: Scope) -> DataFrame:
             if "day" in p.columns:  # partitions of other days aren't read
                 day = day_of(F.lit(int(bound)))
                 p = p.where(F.col("day") >= day if sign == ">=" else F.col("day") <= day)
-    return p.alias("p")
+    return p
 
 
 def joined(store: Store, f: Filter, scope: Scope = Scope(), components: tuple[str, ...] = (), mode: str = "inner") -> DataFrame:
@@ -70,7 +70,7 @@ def joined(store: Store, f: Filter, scope: Scope = Scope(), components: tuple[st
     """
     if mode not in ("inner", "presence"):
         raise ValueError(mode)
-    out = _scoped(store, scope)
+    out = scoped(store.table("packets"), scope).alias("p")
     for name in sorted({*f.components, *components}):
         how = "inner" if mode == "inner" or name in components else "left"
         out = out.join(store.table(name).alias(name), _on("p", name), how)
@@ -123,7 +123,7 @@ def search(store: Store, text: str, components: tuple[str, ...] = (), limit: int
         if c not in COMPONENTS:
             raise FilterError(f"unknown component {c!r}")
     keys = page(store, text, limit, scope, descending, offset, cursor, mode).select(*KEYS)
-    out = _scoped(store, scope).join(keys.alias("k"), _on("p", "k"), "left_semi")
+    out = scoped(store.table("packets"), scope).alias("p").join(keys.alias("k"), _on("p", "k"), "left_semi")
     for name in components:
         side = store.table(name)
         if COMPONENTS[name].repeatable:

@@ -47,6 +47,10 @@ class Store:
             self.tables[name] = none.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in table_schema(name).fields])
         return self.tables[name]
 
+    def versions(self, name: str) -> DataFrame:
+        """All written rows with their sequence number, before the last written are chosen."""
+        return self.table(name).withColumn("_ingest_seq", F.lit(0).cast("long"))
+
     def register(self) -> None:
         """Temporary views for free SQL: packets, captures, streams and each component."""
         for name in TABLE_KEYS:
@@ -94,6 +98,9 @@ class ParquetStore(Store):
             self.tables[name] = raw.drop("_ingest_seq") if self.compacted else last_written(raw, keys)
         return self.tables[name]
 
+    def versions(self, name: str) -> DataFrame:
+        return self.raw(name) if self.exists(name) else super().versions(name)
+
     def refresh(self) -> None:
         self.tables.clear()
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from .operators import codec, flows, geoip, ingest, reassembly
+from .operators import flows, geoip, ingest, reassembly
 from .plans import search as S
 from .plans.language import FilterError
 from .plans.store import ParquetStore, Store
@@ -61,7 +61,7 @@ class Service:
 
     def frame(self, session: str, packet_id: int) -> str:
         text = f"packet.packet_id = {int(packet_id)}"
-        rows = codec.rebuild_frames(reassembly.export_rows(self.store, text, _scope([session]))).collect()
+        rows = reassembly.export_frames(self.store, text, _scope([session])).collect()
         if not rows:
             raise ServiceError(404, "no such packet")
         if rows[0].error:

@@ -237,15 +237,59 @@ def record_bytes(ts: int, frame: bytes, orig_len: int, order: str = "<", unit: i
     return struct.pack(order + "IIII", min(sec, 0xFFFFFFFF), frac // unit, len(frame), max(orig_len, len(frame))) + frame
 
 
+#: Bytes of records that one row holds on their way to the driver, and the type of such rows.
+CHUNK_BYTES = 8 << 20
+CHUNKS = T.StructType([T.StructField("n", T.LongType()), T.StructField("data", T.BinaryType()), T.StructField("error", T.StringType())])
+
+
+def record_chunks(rows: DataFrame, order: str = "<", unit: int = 1000) -> DataFrame:
+    """Rows (ts, orig_len, frame, and error where there is one) to runs of capture records, in the order of rows. An error ends a partition's records."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(CHUNKS)
+
+    def run(batches):
+        for b in batches:
+            out, size = [], 0
+            for ts, orig, frame, error in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if error is not None:
+                    yield pa.RecordBatch.from_pylist([{"n": 0, "data": b"", "error": error}], schema=schema)
+                    return
+                out.append(record_bytes(ts, frame, orig, order, unit))
+                size += len(out[-1])
+                if size >= CHUNK_BYTES:
+                    yield pa.RecordBatch.from_pylist([{"n": len(out), "data": b"".join(out), "error": None}], schema=schema)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_pylist([{"n": len(out), "data": b"".join(out), "error": None}], schema=schema)
+
+    error = F.concat(F.lit("packet "), F.col("packet_id").cast("string"), F.lit(" of session "), F.col("session_id").cast("string"), F.lit(": "), F.col("error")) if "error" in rows.columns else F.lit(None).cast("string")
+    return rows.select("ts", "orig_len", "frame", error.alias("error")).mapInArrow(run, CHUNKS)
+
+
 def write_pcap(rows: DataFrame, path: str, meta: Meta | None = None, snaplen: int = SNAPLEN, linktype: int = 1) -> int:
-    """Ordered rows (ts, orig_len, frame) to one file on the driver, a partition in memory at a time. Returns the number of records."""
+    """Ordered rows (ts, orig_len, frame) to one file on the driver. Returns the number of records.
+
+    Executors make runs of records at the same time and write them to the checkpoint folder; the driver puts them one after the other, a partition in
+    memory at a time. A row with an error raises ValueError and leaves no file.
+    """
+    from ..operators import files
+
     order, unit = (meta.order, meta.unit) if meta and meta.header else ("<", 1000)
-    n = 0
-    with open(path, "wb") as f:
-        f.write(header_bytes(meta, snaplen, linktype))
-        for r in rows.select("ts", "orig_len", "frame").toLocalIterator(prefetchPartitions=True):
-            f.write(record_bytes(r.ts, bytes(r.frame), r.orig_len, order, unit))
-            n += 1
+    chunks, n, beside = files.checkpointed(record_chunks(rows, order, unit)), 0, f"{path}.part"
+    try:
+        with open(beside, "wb") as f:
+            f.write(header_bytes(meta, snaplen, linktype))
+            for r in chunks.toLocalIterator(prefetchPartitions=True):
+                if r.error is not None:
+                    raise ValueError(r.error)
+                f.write(r.data)
+                n += r.n
+        os.replace(beside, path)
+    finally:
+        if os.path.exists(beside):
+            os.remove(beside)
+        files.drop_checkpoint(chunks)
     return n
 
 
