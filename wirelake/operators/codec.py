@@ -11,6 +11,7 @@ import ipaddress
 import struct
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -330,42 +331,125 @@ def _decimal(v):
     return None if v is None else Decimal(v)
 
 
+class _Bytes:
+    """A batch's frames as one run of bytes, read at many places at once. Places up to PAD past the end read zeros."""
+
+    PAD = 128
+
+    def __init__(self, frames: pa.Array):
+        frames = frames.cast(pa.large_binary()).fill_null(b"")
+        offsets = np.frombuffer(frames.buffers()[1], np.int64)[frames.offset : frames.offset + len(frames) + 1]
+        data = frames.buffers()[2]
+        data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+        self.data = np.concatenate([data, np.zeros(self.PAD, np.uint8)])
+        self.start = offsets[:-1] - offsets[0]
+        self.size = np.diff(offsets)
+
+    def u8(self, at: np.ndarray) -> np.ndarray:
+        return self.data[at].astype(np.int64)
+
+    def u16(self, at: np.ndarray) -> np.ndarray:
+        return self.u8(at) << 8 | self.u8(at + 1)
+
+    def u32(self, at: np.ndarray) -> np.ndarray:
+        return self.u16(at) << 16 | self.u16(at + 2)
+
+    def slices(self, at: np.ndarray, size: np.ndarray | int) -> pa.Array:
+        """The bytes from each place on."""
+        ends = np.cumsum(np.broadcast_to(size, at.shape), dtype=np.int64)
+        begins = np.concatenate([[0], ends])
+        total = int(begins[-1])
+        places = np.arange(total) + np.repeat(at - begins[:-1], np.diff(begins))
+        return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(begins.astype(np.int32)), pa.py_buffer(self.data[places])])
+
+
+def _common(b: _Bytes, linktype: np.ndarray) -> tuple[np.ndarray, dict[str, tuple[np.ndarray, dict]]]:
+    """Frames of the usual shapes, all at once: Ethernet with ARP, or with IP whose TCP or UDP follows at once.
+
+    Returns where each one's payload starts (-1: another shape, for dissect to walk), and by layer the frames' numbers and the columns.
+    Both ways say the same of every frame; the tests hold them against each other.
+    """
+    at = b.start
+    ether = (linktype == ETHERNET) & (b.size >= 34)
+    kind = b.u16(at + 12)
+    v4 = ether & (kind == 0x0800) & (b.u8(at + 14) == 0x45) & (b.u16(at + 20) & 0x3FFF == 0)
+    v6 = ether & (kind == 0x86DD) & (b.u8(at + 14) >> 4 == 6) & (b.size >= 54)
+    arp = ether & (kind == 0x0806) & (b.size >= 42) & (b.u32(at + 14) == 0x00010800) & (b.u16(at + 18) == 0x0604)
+    proto = np.where(v4, b.u8(at + 23), np.where(v6, b.u8(at + 20), 0))
+    l4 = at + np.where(v6, 54, 34)
+    room, words, bits = at + b.size - l4, b.u8(l4 + 12) >> 4, b.u16(l4 + 12)
+    sport, dport = b.u16(l4), b.u16(l4 + 2)
+    tcp = (proto == 6) & (room >= 20) & (words >= 5) & (bits & 0x0E00 == 0) & (room >= words * 4)
+    udp = (proto == 17) & (room >= 8) & ~np.isin(sport, (53, 123)) & ~np.isin(dport, (53, 123))
+    rest = np.where(tcp, l4 + words * 4, np.where(udp, l4 + 8, np.where(arp, at + 42, -1)))
+    out = {}
+
+    def layer(name: str, index: int, which: np.ndarray, columns: Callable[[np.ndarray, np.ndarray], dict], base: np.ndarray) -> None:
+        rows = np.flatnonzero(which)
+        if len(rows):
+            out[name] = rows, columns(base[rows], rows) | {"layer_index": np.full(len(rows), index)}
+
+    none = lambda p: b.slices(p, 0)
+    layer("ethernet", 0, rest >= 0, lambda p, r: {"src": b.slices(p + 6, 6), "dst": b.slices(p, 6), "type": kind[r], "len": np.zeros(len(r), np.int64)}, at)
+    layer("ipv4", 1, v4 & (rest >= 0), lambda p, r: {"protocol": proto[r], "src": b.u32(p + 12), "dst": b.u32(p + 16), "ihl": np.full(len(r), 5), "tos": b.u8(p + 1), "total_len": b.u16(p + 2), "id": b.u16(p + 4), "flags": b.u16(p + 6) >> 13, "frag_offset": b.u16(p + 6) & 0x1FFF, "ttl": b.u8(p + 8), "hdr_checksum": b.u16(p + 10), "options_raw": none(p)}, at + 14)
+    layer("ipv6", 1, v6 & (rest >= 0), lambda p, r: {"protocol": proto[r], "src": b.slices(p + 8, 16), "dst": b.slices(p + 24, 16), "payload_len": b.u16(p + 4), "hop_limit": b.u8(p + 7), "flow_label": b.u32(p) & 0xFFFFF, "traffic_class": b.u32(p) >> 20 & 0xFF}, at + 14)
+    layer("arp", 1, arp, lambda p, r: {"arp_op": b.u16(p + 6), "sender_mac": b.slices(p + 8, 6), "sender_ip": b.u32(p + 14), "target_mac": b.slices(p + 18, 6), "target_ip": b.u32(p + 24)}, at + 14)
+    layer("tcp", 2, tcp, lambda p, r: {"src": sport[r], "dst": dport[r], "seq": b.u32(p + 4), "ack": b.u32(p + 8), "data_offset": words[r], "flags": bits[r] & 0x1FF, "window": b.u16(p + 14), "checksum": b.u16(p + 16), "urgent": b.u16(p + 18), "options_raw": b.slices(p + 20, words[r] * 4 - 20)}, l4)
+    layer("udp", 2, udp, lambda p, r: {"src": sport[r], "dst": dport[r], "length": b.u16(p + 4), "checksum": b.u16(p + 6)}, l4)
+    return rest, out
+
+
+def _struct(kind: pa.StructType, columns: dict) -> pa.StructArray:
+    cols = []
+    for f in kind:
+        v = columns[f.name]
+        if isinstance(v, list):
+            v = pa.array([_decimal(x) for x in v] if pa.types.is_decimal(f.type) else v, f.type)
+        cols.append(v if isinstance(v, pa.Array) else pa.array(v).cast(f.type))
+    return pa.StructArray.from_arrays(cols, fields=list(kind))
+
+
 def _dissected(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
-    """Frames to layers, column by column."""
-    at = {n: i for i, n in enumerate(batch.schema.names)}
-    n = batch.num_rows
-    bits_, payloads, sizes, extras = [], [], [], []
-    rows: dict[str, list[dict]] = {}
-    ends: dict[str, list[int]] = {}
-    for i, (frame, orig, linktype) in enumerate(zip(*(batch.column(at[c]).to_pylist() for c in ("frame", "orig_len", "linktype")), strict=True)):
-        frame = frame or b""
-        orig = max(orig or 0, len(frame))
-        bits, layers, payload = dissect(linktype, frame, orig)
-        bits_.append(bits)
-        payloads.append(payload)
-        sizes.append(len(frame))
-        extras.append(orig - len(frame))
+    """Frames to layers, column by column: the usual shapes at once, the others one by one."""
+    frames, orig, linktype, *keys = (batch.column(batch.schema.get_field_index(c)) for c in ("frame", "orig_len", "linktype", *KEYS, "ts"))
+    n, b = batch.num_rows, _Bytes(frames)
+    linktype = linktype.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+    rest, common = _common(b, linktype)
+    orig = np.maximum(orig.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), b.size)
+    bits = np.where(orig > b.size, TRUNCATED, 0).astype(np.int64)
+    for name, (rows, _) in common.items():
+        bits[rows] |= COMPONENTS[name].mask
+    others: dict[str, tuple[list[int], list[dict]]] = {}
+    start = rest.copy()
+    for i in np.flatnonzero(rest < 0).tolist():
+        lo, hi = int(b.start[i]), int(b.start[i] + b.size[i])
+        bits[i], layers, payload = dissect(int(linktype[i]), b.data[lo:hi].tobytes(), int(orig[i]))
+        start[i] = hi - len(payload)
         for k, (name, row) in enumerate(layers):
             row["layer_index"] = k
-            if name not in rows:
-                rows[name], ends[name] = [], [0] * n
-            rows[name].append(row)
-            ends[name][i] += 1
-    cols = [batch.column(at["session_id"]), batch.column(at["packet_id"]), batch.column(at["ts"]), pa.array(sizes, pa.int64()), pa.array(extras, pa.int64()), pa.array(bits_, pa.int64()), pa.array(payloads, pa.binary())]
+            at, rows = others.setdefault(name, ([], []))
+            at.append(i)
+            rows.append(row)
+    cols = [*keys, pa.array(b.size), pa.array(orig - b.size), pa.array(bits), b.slices(start, b.start + b.size - start)]
     for name in LAYERS:
         kind = schema.field(name).type
-        if name not in rows:
+        found = []
+        if name in common:
+            found.append((common[name][0], _struct(kind.value_type, common[name][1])))
+        if name in others:
+            at, rows = others[name]
+            found.append((np.array(at), _struct(kind.value_type, {f.name: [r[f.name] for r in rows] for f in kind.value_type})))
+        if not found:
             cols.append(pa.nulls(n, kind))
             continue
-        fields = kind.value_type
-        values = []
-        for f in fields:
-            v = [r[f.name] for r in rows[name]]
-            values.append(pa.array([_decimal(x) for x in v] if pa.types.is_decimal(f.type) else v, f.type))
-        offsets = [0]
-        for x in ends[name]:
-            offsets.append(offsets[-1] + x)
-        cols.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(values, fields=list(fields)), type=kind))
+        at, values = found[0]
+        if len(found) > 1:
+            # all layers of a frame come from one side, so a stable order by frame keeps them in theirs
+            at = np.concatenate([x for x, _ in found])
+            order = np.argsort(at, kind="stable")
+            values = pa.concat_arrays([v for _, v in found]).take(pa.array(order))
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=n))]).astype(np.int32)
+        cols.append(pa.ListArray.from_arrays(pa.array(offsets), values, type=kind))
     return pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 

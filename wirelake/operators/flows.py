@@ -56,7 +56,9 @@ def http_session(payloads: list[bytes]) -> tuple[str, str, str] | None:
 
 
 def canonical(df: DataFrame) -> DataFrame:
-    """Rows with src_ip, dst_ip, src_port, dst_port get lo_ip, hi_ip, lo_port, hi_port, equal for both directions."""
+    """Rows with src_ip, dst_ip, src_port, dst_port get lo_ip, hi_ip, lo_port, hi_port, equal for both directions; rows that have them stay."""
+    if "lo_ip" in df.columns:
+        return df
     forward = (F.col("src_ip") < F.col("dst_ip")) | ((F.col("src_ip") == F.col("dst_ip")) & (F.col("src_port") <= F.col("dst_port")))
     pick = lambda a, b: F.when(forward, F.col(a)).otherwise(F.col(b))
     return df.withColumns({"lo_ip": pick("src_ip", "dst_ip"), "hi_ip": pick("dst_ip", "src_ip"), "lo_port": pick("src_port", "dst_port"), "hi_port": pick("dst_port", "src_port")})
@@ -85,22 +87,25 @@ def streams(packets: DataFrame) -> DataFrame:
     """
     syn = (F.col("flags").bitwiseAND(SYN) != 0) & (F.col("flags").bitwiseAND(ACK) == 0)
     synack = (F.col("flags").bitwiseAND(SYN) != 0) & (F.col("flags").bitwiseAND(ACK) != 0)
-    ends = F.struct("src_ip", "dst_ip", "src_port", "dst_port")
-    rows = canonical(packets)
+    rows = canonical(packets).withColumn("_back", (F.col("src_ip") != F.col("lo_ip")) | (F.col("src_port") != F.col("lo_port")))
+    # numbers only, so that flows are hashed and not sorted; the first SYN's lowest bit says which way it went
     each = rows.groupBy(*FLOW).agg(
         F.min("packet_id").alias("first_packet_id"), F.max("packet_id").alias("last_packet_id"), F.count(F.lit(1)).alias("packet_count"), F.sum(F.octet_length("payload")).cast("long").alias("byte_count"),
-        F.min(F.when(syn, F.struct("packet_id", ends.alias("ends")))).alias("syn"), F.max(F.when(synack, F.col("packet_id"))).alias("synack"),
+        F.min(F.when(syn, F.col("packet_id") * 2 + F.col("_back").cast("long"))).alias("syn"), F.max(F.when(synack, F.col("packet_id"))).alias("synack"),
     )
-    # the first PREFIX packets with payload hold the first PREFIX bytes: ranked per flow, cut before anything is gathered
+    each = each.where("syn is not null and synack > shiftright(syn, 1)")
+    # the first PREFIX packets with payload hold the first PREFIX bytes: ranked per flow with a handshake, cut before anything is gathered
     rank = F.row_number().over(Window.partitionBy(*FLOW).orderBy("packet_id"))
-    heads = rows.where(F.octet_length("payload") > 0).withColumn("_rn", rank).where(F.col("_rn") <= PREFIX)
+    heads = rows.where(F.octet_length("payload") > 0).join(each.select(*FLOW), FLOW, "left_semi").withColumn("_rn", rank).where(F.col("_rn") <= PREFIX)
     joined = heads.groupBy(*FLOW).agg(F.array_sort(F.collect_list(F.struct("packet_id", F.substring("payload", 1, PREFIX).alias("b")))).alias("h"))
     head = joined.select(*FLOW, F.aggregate("h", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["b"])).alias("head"))
-    out = each.where("syn is not null and synack > syn.packet_id").join(head, FLOW).withColumn("l7_proto", detect(F.col("head"))).where("l7_proto is not null")
+    out = each.join(head, FLOW).withColumn("l7_proto", detect(F.col("head"))).where("l7_proto is not null")
+    back = F.col("syn").bitwiseAND(1) == 1
+    end = lambda a, c: F.when(back, F.col(a)).otherwise(F.col(c))
     name = F.sha2(F.concat_ws("|", F.col("session_id").cast("string"), F.hex("lo_ip"), F.hex("hi_ip"), F.col("lo_port").cast("string"), F.col("hi_port").cast("string"), F.col("first_packet_id").cast("string")), 256)
     return out.select(
-        "session_id", F.substring(name, 1, 32).alias("stream_id"), "l7_proto", F.lit(TCP).cast("short").alias("proto"), F.col("syn.ends.src_ip").alias("src_ip"), F.col("syn.ends.dst_ip").alias("dst_ip"),
-        F.col("syn.ends.src_port").alias("src_port"), F.col("syn.ends.dst_port").alias("dst_port"), F.lit(True).alias("is_complete"), "first_packet_id", "last_packet_id", "packet_count", "byte_count",
+        "session_id", F.substring(name, 1, 32).alias("stream_id"), "l7_proto", F.lit(TCP).cast("short").alias("proto"), end("hi_ip", "lo_ip").alias("src_ip"), end("lo_ip", "hi_ip").alias("dst_ip"),
+        end("hi_port", "lo_port").alias("src_port"), end("lo_port", "hi_port").alias("dst_port"), F.lit(True).alias("is_complete"), "first_packet_id", "last_packet_id", "packet_count", "byte_count",
         "lo_ip", "hi_ip", "lo_port", "hi_port",
     )
 

@@ -6,8 +6,10 @@ import logging
 import random
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from ..registry import COMPONENTS, HTTP_COLUMNS, KEYS, STREAM_COLUMNS, UPPER_LAY
 from ..sources import pcap
 from . import codec, files, flows, reassembly, retention
 
+#: Tables that are written at the same time.
+WRITERS = 4
 log = logging.getLogger(__name__)
 
 
@@ -72,15 +76,20 @@ def ingest(store: ParquetStore, found: DataFrame, sensor: str = "", with_streams
     frames = pcap.read_frames(found)
     codec.dissect_frames(frames.withColumn("linktype", F.col("linktype").cast("long"))).write.mode("overwrite").parquet(f"{stage}/packets")
     packets = spark.read.schema(codec.DISSECTED).parquet(f"{stage}/packets")
-    retry(lambda: store.append("captures", meta, seq))
     present = packets.agg(F.count(F.lit(1)).alias("n"), F.bit_or("components").alias("bits")).first()
-    for name in [n for n, c in COMPONENTS.items() if (present.bits or 0) & c.mask]:
-        retry(lambda name=name: store.append(name, codec.component_rows(packets, name), seq))
-    retry(lambda: store.append("packets", packets.select("session_id", "packet_id", "ts", "incl_len", "trunc_extra", "components", "payload"), seq))
-    streams = 0
+    parts = {n: codec.component_rows(packets, n) for n, c in COMPONENTS.items() if (present.bits or 0) & c.mask}
+    parts["packets"] = packets.select("session_id", "packet_id", "ts", "incl_len", "trunc_extra", "components", "payload")
+    acts = [lambda: retry(lambda: store.append("captures", meta, seq))]
+    acts += [lambda n=n, rows=rows: retry(lambda: store.append(n, rows, seq)) for n, rows in parts.items()]
     if with_streams and (present.bits or 0) & COMPONENTS["tcp"].mask:
-        streams = write_streams(store, tcp_of(packets), seq)
-    n = meta.count()
+        acts.append(lambda: write_streams(store, tcp_of(packets), seq))
+    else:
+        acts.append(lambda: 0)
+    # the tables' jobs share the executors: one's tail doesn't leave them idle
+    with ThreadPoolExecutor(WRITERS) as pool:
+        done = [pool.submit(inheritable_thread_target(spark)(a)) for a in acts]
+    streams = [d.result() for d in done][-1]  # any writer's error goes up
+    n = store.versions("captures").where(F.col("_ingest_seq") == seq).count()
     files.delete(spark, stage)
     return Ingested(n, present.n, streams)
 
@@ -97,15 +106,21 @@ def tcp_of(packets: DataFrame) -> DataFrame:
 
 
 def write_streams(store: ParquetStore, tcp: DataFrame, seq: int) -> int:
-    found = flows.streams(tcp).persist()
+    """The streams of TCP packets. These are written once with both ends in order, for they are read several times and derived from nested columns."""
+    spark, stage = store.spark, f"{store.root}/_stage/{seq}-tcp"
+    rows = flows.canonical(tcp)
+    rows.write.mode("overwrite").parquet(stage)
+    rows = spark.read.schema(rows.schema).parquet(stage)
+    found = flows.streams(rows).persist()
     try:
         n = found.count()
         if n:
             store.append("stream_captures", found.select(*[c.name for c in STREAM_COLUMNS]), seq)
-            store.append("stream_http", flows.http_streams(tcp, found).select(*[c.name for c in HTTP_COLUMNS]), seq)
+            store.append("stream_http", flows.http_streams(rows, found).select(*[c.name for c in HTTP_COLUMNS]), seq)
         return n
     finally:
         found.unpersist()
+        files.delete(spark, stage)
 
 
 def create_capture(store: ParquetStore, rows: DataFrame) -> int:
