@@ -87,8 +87,20 @@ def flow_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("session_id", "packet_id", ip6_of_ip4(F.col("src_n").cast("long")).alias("src_ip"), ip6_of_ip4(F.col("dst_n").cast("long")).alias("dst_ip"), "src_port", "dst_port", "flags", text.cast("binary").alias("payload"), "src_n", "dst_n", "props")
 
 
+#: Folders of captures that were made before, by tables' folder.
+PREPARED: dict[str, str] = {}
+
+
+def prepare_captures(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Write the captures as rows of Parquet; the queries over captures then read them."""
+    capture_files(spark, sf_dir).write.mode("overwrite").parquet(folder)
+    PREPARED[sf_dir] = folder
+
+
 def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows (path, content) as of binaryFile: one classic capture for each range of events, with real frames of five kinds."""
+    if sf_dir in PREPARED:
+        return spark.read.schema("path string, content binary").parquet(PREPARED[sf_dir])
     import struct
 
     import pyarrow as pa
