@@ -45,6 +45,10 @@ def test_every_query_without_sql_runs(spark):
         assert Q.QUERIES[name](spark, DATA).limit(1).collect()
 
 
+def test_export_compares_packets_without_a_broadcast(spark):
+    assert "BroadcastExchange" not in Q.QUERIES["pcap_export"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
