@@ -49,6 +49,21 @@ def test_export_compares_packets_without_a_broadcast(spark):
     assert "BroadcastExchange" not in Q.QUERIES["pcap_export"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
 
 
+def both_of_users(spark, folder, name, users):
+    """A query's rows and its SQL's, as text, over events of these users."""
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT unnest({users})::BIGINT AS user_id) TO '{folder}/events.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    df, q = Q.QUERIES[name](spark, str(folder)), c.sql(Q.ORACLES[name])
+    at = [df.columns.index(x) for x in q.columns]
+    return sorted(tuple(plain(r[i]) for i in at) for r in df.collect()), sorted(tuple(plain(x) for x in r) for r in q.fetchall())
+
+
+def test_numbers_above_32_bits_have_pseudonyms_of_their_own(spark, tmp_path):
+    got, want = both_of_users(spark, tmp_path, "pseudonymise", [0, 1, 511, 63479, 63480, 63481, 70000, 89999])
+    assert got == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

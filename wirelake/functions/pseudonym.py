@@ -33,8 +33,13 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
 
 
 def ip4(seed: bytes, c: Column) -> Column:
-    """First octet kept, the others from the key; a last octet of 0 or 255 becomes 1 or 254. Addresses that aren't public stay."""
-    h = F.hex(hmac_sha256(seed, F.concat(F.lit(TAG4), F.unhex(F.lpad(F.hex(c), 8, "0")))))
+    """First octet kept, the others from the key; a last octet of 0 or 255 becomes 1 or 254. Addresses that aren't public stay.
+
+    A number above 32 bits goes under the key with all its bytes, and what stands before its last three octets is kept.
+    """
+    digits = F.hex(c)
+    whole = F.lpad(digits, F.greatest(F.lit(8), F.length(digits)), "0")  # lpad cuts what is longer
+    h = F.hex(hmac_sha256(seed, F.concat(F.lit(TAG4), F.unhex(whole))))
     octets = [F.conv(F.substring(h, 1 + 2 * i, 2), 16, 10).cast("long") for i in range(3)]
     last = F.when(octets[2] == 0, 1).when(octets[2] == 255, 254).otherwise(octets[2])
     new = F.shiftright(c, 24) * (1 << 24) + octets[0] * (1 << 16) + octets[1] * (1 << 8) + last
