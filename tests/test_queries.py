@@ -64,6 +64,11 @@ def test_numbers_above_32_bits_have_pseudonyms_of_their_own(spark, tmp_path):
     assert got == want
 
 
+def test_places_of_all_users(spark, tmp_path):
+    got, want = both_of_users(spark, tmp_path, "geo_lookup6", [0, 5, 6, 69, 255, 256, 261, 262, 1477, 65535, 65541, 65542, 89989])
+    assert got == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

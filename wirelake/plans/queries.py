@@ -329,11 +329,16 @@ def range_to_cidr6(spark, d):
 
 @query("SELECT DISTINCT '2001:db8::' || lower(to_hex(user_id)) AS ip, coalesce('N' || CASE WHEN user_id < 256 THEN CAST(user_id // 32 AS VARCHAR) END, '') AS country_code, CASE WHEN user_id % 64 = 5 THEN 'single' WHEN user_id < 256 THEN 'block' ELSE '' END AS city FROM events", views=False)
 def geo_lookup6(spark, d):
-    """IPv6 addresses against ranges of 32 addresses, and every 64th address in a range of its own."""
-    ips = V.read(spark, d, "events").selectExpr("concat('2001:db8::', lower(hex(user_id))) AS ip").distinct()
+    """IPv6 addresses against ranges of 32 addresses, and every 64th address in a range of its own.
+
+    The ranges of one address go as far as the users; only places below 256 have a country. A user above 16 bits takes two groups of the address.
+    """
+    address = lambda n: f"concat('2001:db8::', lower(hex(shiftright({n}, 16))), ':', lower(hex({n} & 65535)))"
+    ips = V.read(spark, d, "events").select("user_id").distinct().selectExpr("concat('2001:db8::', lower(hex(user_id))) AS ip", f"{address('user_id')} AS address")
     blocks = spark.range(8).selectExpr("concat('2001:db8::', lower(hex(id * 32))) AS ip_range_start", "concat('2001:db8::', lower(hex(id * 32 + 31))) AS ip_range_end", "concat('N', id) AS country_code", "'block' AS city")
-    single = spark.range(4).selectExpr("concat('2001:db8::', lower(hex(id * 64 + 5))) AS ip_range_start", "concat('2001:db8::', lower(hex(id * 64 + 5))) AS ip_range_end", "concat('N', id * 2) AS country_code", "'single' AS city")
-    return geoip.lookup(ips, blocks.unionByName(single), spark.createDataFrame([], geoip.ASN_SCHEMA)).select("ip", "country_code", "city")
+    last = V.read(spark, d, "events").agg(F.max("user_id")).first()[0] or 0
+    single = spark.range(last // 64 + 1).selectExpr(f"{address('(id * 64 + 5)')} AS ip_range_start", f"{address('(id * 64 + 5)')} AS ip_range_end", "CASE WHEN id < 4 THEN concat('N', id * 2) END AS country_code", "'single' AS city")
+    return geoip.lookup(ips, blocks.unionByName(single), spark.createDataFrame([], geoip.ASN_SCHEMA), "address").select("ip", "country_code", "city")
 
 
 @query("SELECT ip, coalesce(c.country_code, '') AS country_code FROM (SELECT DISTINCT 167772160 + user_id AS ip FROM events) LEFT JOIN (SELECT a.ip AS i, max_by(country_code, len * 1000 + ascii(country_code) * 1.0 + 0) AS country_code FROM (SELECT DISTINCT 167772160 + user_id AS ip FROM events) a JOIN (SELECT network, len, max(country_code) AS country_code FROM (" + _CIDRS + ") GROUP BY 1, 2) n ON a.ip >= n.network AND a.ip < n.network + (1 << (32 - len)) GROUP BY 1) c ON c.i = ip", views=False)
